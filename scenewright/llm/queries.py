@@ -39,3 +39,25 @@ WITH n AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k
 """
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+ORACLE_SQL["op9_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), m AS (
+  SELECT page_id, payload_bytes, sha1(body) AS payload_digest,
+         CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS best
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN best <> page_id THEN best END AS refers_to
+FROM m
+"""
