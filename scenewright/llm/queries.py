@@ -61,3 +61,15 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN best <> page_id THEN best END AS refers_to
 FROM m
 """
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    counts = token_counts(table(spark, sf_dir, "documents"), spec)
+    return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
