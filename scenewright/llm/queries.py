@@ -73,3 +73,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         spec = f.read()
     counts = token_counts(table(spark, sf_dir, "documents"), spec)
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_knn import classify, held_out
+
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
