@@ -89,3 +89,39 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = license_scan(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+ORACLE_SQL["op3_line_dedup"] = r"""
+WITH p AS (
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents
+), q AS (
+  SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM p
+), t AS (
+  SELECT *, regexp_replace(part, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM q
+), l AS (
+  SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place FROM t WHERE line <> ''
+), w AS (
+  SELECT doc_id, place, line AS a, lead(line, 1) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY place)
+), r AS (
+  SELECT doc_id, place, count(*) OVER (PARTITION BY a, b, c) AS n, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, place) AS k
+  FROM w WHERE c IS NOT NULL AND length(a) + length(b) + length(c) >= 40
+), g AS (
+  SELECT doc_id, unnest([place, place + 1, place + 2]) AS place FROM r WHERE k > 1
+  EXCEPT
+  SELECT doc_id, unnest([place, place + 1, place + 2]) FROM r WHERE k = 1 AND n > 1
+), s AS (
+  SELECT t.doc_id, coalesce(string_agg(t.part, '' ORDER BY t.i) FILTER (WHERE g.place IS NULL), '') AS clean,
+         count(l.place) AS n_lines, count(g.place) AS n_removed
+  FROM t LEFT JOIN l ON l.doc_id = t.doc_id AND l.i = t.i LEFT JOIN g ON g.doc_id = t.doc_id AND g.place = l.place
+  GROUP BY t.doc_id
+)
+SELECT doc_id, n_lines, n_removed, md5(clean) AS text_md5 FROM s
+"""
