@@ -125,3 +125,10 @@ WITH p AS (
 )
 SELECT doc_id, n_lines, n_removed, md5(clean) AS text_md5 FROM s
 """
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
