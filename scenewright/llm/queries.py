@@ -132,3 +132,44 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import overlaps
 
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
+def mixing_sql(documents: str, sweeps: int = 12) -> str:
+    """The mix in SQL: one step per sweep and dimension."""
+    steps, last = [], "r0"
+    for i in range(sweeps):
+        for dim in ("source", "lang", "topic"):
+            new = f"r{len(steps) + 1}"
+            steps.append(f"{new} AS (SELECT * REPLACE (weight * t_{dim} / sum(weight) OVER (PARTITION BY {dim}) AS weight) FROM {last})")
+            last = new
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, lang, len(list_filter(w, lambda x: x <> '')) AS n_tokens,
+         ('0x' || substr(md5(list_max(list_transform(w, lambda x: {{'n': length(x), 'w': x}})).w), 1, 8))::BIGINT % 8 AS topic
+  FROM (SELECT *, regexp_split_to_array(coalesce(text, ''), '[ 	-]+') AS w FROM {documents})
+), c AS (
+  SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL
+), ts AS (SELECT source, pow(sum(tokens), 0.5) / sum(pow(sum(tokens), 0.5)) OVER () AS t_source FROM c GROUP BY source
+), tl AS (SELECT lang, pow(sum(tokens), 0.5) / sum(pow(sum(tokens), 0.5)) OVER () AS t_lang FROM c GROUP BY lang
+), tt AS (SELECT topic, 1.0::DOUBLE / count(*) OVER () AS t_topic FROM c GROUP BY topic
+), r0 AS (
+  SELECT c.*, tokens AS weight, t_source, t_lang, t_topic FROM c
+  JOIN ts ON c.source IS NOT DISTINCT FROM ts.source JOIN tl ON c.lang IS NOT DISTINCT FROM tl.lang JOIN tt USING (topic)
+), {", ".join(steps)}, p AS (
+  SELECT source, lang, topic, least(1.0, weight * (SELECT sum(tokens) FROM c) * 0.5 / tokens) AS p FROM {last}
+)
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(p, 6) AS probability,
+       n_tokens > 0 AND ('0x' || substr(md5('1:' || doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < p AS sampled
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic
+"""
+
+
+ORACLE_SQL["op5_mixing"] = mixing_sql("documents")
