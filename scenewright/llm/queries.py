@@ -173,3 +173,10 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTIN
 
 
 ORACLE_SQL["op5_mixing"] = mixing_sql("documents")
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
