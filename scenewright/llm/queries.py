@@ -180,3 +180,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
