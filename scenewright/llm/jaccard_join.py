@@ -395,3 +395,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_node = firsts.select("node", "component").join(ids, "component").select("node", "component_id")
     out = rows.join(by_node, "node", "left")
     return out.select("id", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component that with the smallest id.
+
+    Texts without words stay. Of rows that share id and text one stays.
+    """
+    found = jaccard_components(docs, id_col, text_col)
+    stay = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("version"))
+    rows = rows.join(stay, F.col("own").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["own", "version"])
+    return rows.select("row.*")

@@ -68,26 +68,47 @@ def covered(places: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + (WINDOW - 1)))))
 
 
+def cleaned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (the input's columns as a struct), clean, n_lines, removed_lines."""
+    hit = repeats(docs, id_col, text_col)
+    hit = hit.select("id", "version", F.array_sort(F.array_except(covered(F.col("later")), covered(F.col("first")))).alias("gone"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("own_version"), F.col(text_col).alias("text"))
+    rows = rows.join(hit, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_version") == F.col("version")), "left")
+    parts, lines = lines_of(F.col("text"))
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    some = F.size(gone) > 0
+    out = rows.select("row", "text", gone.alias("removed_lines"), F.size(lines).alias("n_lines"), F.when(some, lines).alias("lines"), F.when(some, parts).alias("parts"))
+    out = out.withColumn("cut", F.transform("removed_lines", lambda i: F.col("lines")[i]["part"]))
+    kept = F.array_join(F.filter("parts", lambda p, i: ~F.array_contains(F.col("cut"), i)), "")
+    return out.select("row", F.when(F.size("removed_lines") > 0, kept).otherwise(F.col("text")).alias("clean"), "n_lines", "removed_lines")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input with ``text_col`` cleaned and two columns more: ``n_lines, removed_lines``.
+    """``id, text`` (cleaned), ``n_lines, removed_lines`` of every row.
 
     ``removed_lines`` are the sorted numbers, from 0, of the lines taken out. Null text
     stays null and has no lines; a text of fewer than three lines is never changed.
     Rows that repeat an id with the same text are one document and get the same result.
-    A null id sorts after all others. Other columns pass through.
+    A null id sorts after all others. Other columns are ignored.
     """
-    hit = repeats(docs, id_col, text_col)
-    _, lines = lines_of(F.col(text_col))
-    names = [F.col(c) for c in docs.columns]
-    rows = docs.select(*names, F.xxhash64(text_col).alias("_version"))
-    hit = hit.select(F.col("id").alias("_id"), F.col("version").alias("_v"), F.array_sort(F.array_except(covered(F.col("later")), covered(F.col("first")))).alias("_gone"))
-    rows = rows.join(hit, rows[id_col].eqNullSafe(hit["_id"]) & (rows["_version"] == hit["_v"]), "left")
-    none = F.array().cast("array<int>")
-    gone = F.coalesce(F.col("_gone"), none)
-    parts, lines = lines_of(F.col(text_col))
-    out = rows.select(*names, gone.alias("removed_lines"), F.size(lines).alias("n_lines"), F.when(F.size(gone) > 0, lines).alias("_lines"), F.when(F.size(gone) > 0, parts).alias("_parts"))
-    cut = F.transform("removed_lines", lambda i: F.col("_lines")[i]["part"])
-    kept = F.array_join(F.filter("_parts", lambda p, i: ~F.array_contains(F.col("_cut"), i)), "")
-    text = F.when(F.size("removed_lines") > 0, kept).otherwise(F.col(text_col)).alias(text_col)
-    out = out.withColumn("_cut", cut)
-    return out.select(*[text if c == text_col else F.col(c) for c in docs.columns], "n_lines", "removed_lines")
+    return cleaned(docs, id_col, text_col).select(F.col(f"row.{id_col}").alias("id"), F.col("clean").alias("text"), "n_lines", "removed_lines")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with clean texts; those that lose every line go.
+
+    ``length_col``, if given and there, is the number of characters and is made anew for
+    texts that change. All other columns pass through.
+    """
+    out = cleaned(docs, id_col, text_col)
+    changed = F.size("removed_lines") > 0
+    out = out.filter(~changed | (F.size("removed_lines") < F.col("n_lines")))
+
+    def column(c: str):
+        if c == text_col:
+            return F.col("clean").alias(c)
+        if c == length_col:
+            return F.when(changed, F.char_length("clean").cast(docs.schema[c].dataType)).otherwise(F.col(f"row.{c}")).alias(c)
+        return F.col(f"row.{c}").alias(c)
+
+    return out.select(*[column(c) for c in docs.columns])

@@ -175,16 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(counts, y)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``id, score`` and the columns ``keep`` of every row; null text counts as empty.
-
-    Empty texts share one score: that of the labelled texts that are nearest to nothing.
-    Equal texts have equal scores. Other columns are not looked at.
-    """
+def _scored(docs: DataFrame, model: Model, text_col: str, keep: dict) -> DataFrame:
+    """The columns ``keep`` (name: column) and ``_score``."""
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    cols = [F.col(id_col).alias("id"), *[F.col(c) for c in keep or []]]
-    raw = docs.select(*cols, text_bytes(docs, text_col).alias("_bytes"))
-    schema = raw.drop("_bytes").schema.add("score", "double")
+    raw = docs.select(*[c.alias(k) for k, c in keep.items()], text_bytes(docs, text_col).alias("_bytes"))
+    schema = raw.drop("_bytes").schema.add("_score", "double")
     names = [f.name for f in schema]
 
     def run(batches):
@@ -198,11 +193,27 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return raw.mapInArrow(run, schema)
 
 
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, score`` of every row; null text counts as empty.
+
+    Empty texts share one score: that of the labelled texts that are nearest to nothing.
+    Equal texts have equal scores. Other columns are not looked at.
+    """
+    return _scored(docs, model, text_col, {"id": F.col(id_col)}).withColumnRenamed("_score", "score")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with their own columns."""
+    keep = {f"_c{i}": docs[c] for i, c in enumerate(docs.columns)}
+    kept = _scored(docs, model, text_col, keep).filter(F.col("_score") >= threshold)
+    return kept.select(*[F.col(k).alias(c) for k, c in zip(keep, docs.columns)])
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows never learned from: crc32 of the id as text, modulo 3, is 1 (false for a null id)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``id, score`` of all ``docs``, learned from the rows of ``labels`` that aren't held out."""
-    return score(docs, fit(docs, labels.filter(~held_out())), keep=keep)
+    return score(docs, fit(docs, labels.filter(~held_out())))

@@ -95,8 +95,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
-    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed_lines").alias("n_removed"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
 ORACLE_SQL["op3_line_dedup"] = r"""
@@ -154,7 +154,8 @@ def mixing_sql(documents: str, sweeps: int = 12) -> str:
 WITH d AS (
   SELECT doc_id, source, lang, len(list_filter(w, lambda x: x <> '')) AS n_tokens,
          ('0x' || substr(md5(list_max(list_transform(w, lambda x: {{'n': length(x), 'w': x}})).w), 1, 8))::BIGINT % 8 AS topic
-  FROM (SELECT *, regexp_split_to_array(coalesce(text, ''), '[ 	-]+') AS w FROM {documents})
+  FROM (SELECT *, regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+') AS w FROM {documents})
 ), c AS (
   SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL
 ), ts AS (SELECT source, pow(sum(tokens), 0.5) / sum(pow(sum(tokens), 0.5)) OVER () AS t_source FROM c GROUP BY source
