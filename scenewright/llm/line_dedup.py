@@ -9,29 +9,39 @@ of first occurrences are taken out again, and what remains is removed.
 
 Only fixed-width rows (id, place, hash) are shuffled to find repeats; the text travels once,
 to meet its document's places. A window may be in a third of all documents: occurrences
-are summed before the exchange, and the join back is salted.
+are summed before the exchange, and the join back is left to Spark's skew join to split.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import SPACE_CLASS, salt, with_salts
+from .common import GOLDEN, mix
 
 #: Lines in a window, and the characters that a window has at least.
 WINDOW, MIN_CHARS = 3, 40
-SALTS = 16
+#: White space around lines that doesn't count.
+SPACE = " \t\n\x0b\x0c\r"
 #: Where a line ends.
-LINE_END = r"(?<=\n)|(?<=[.!?] )"
+LINE_END = re.compile(r"(?<=\n)|(?<=[.!?] )")
 
 
-def lines_of(text: Column) -> tuple[Column, Column]:
-    """All parts of a text, which joined give the text, and its lines (part, line)."""
-    parts = F.split(F.coalesce(text, F.lit("")), LINE_END, -1)
-    strip = lambda p: F.regexp_replace(p, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
-    lines = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("part"), strip(p).alias("line"))), lambda x: x["line"] != "")
-    return parts, lines
+def parts_of(text: str | None) -> list[str]:
+    """The parts of a text, which joined give the text; a part is a line or white space."""
+    if not text:
+        return []
+    if "\0" in text:
+        return LINE_END.split(text)
+    for end in ("\n", ". ", "! ", "? "):
+        text = text.replace(end, end + "\0")
+    return text.split("\0")
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -39,16 +49,30 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     ``version`` is a hash of the text: rows that share an id but not a text keep apart.
     """
-    _, lines = lines_of(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), lines.alias("lines")).filter(F.size("lines") >= WINDOW)
-    at = lambda i, k: F.col("lines")[i + k]["line"]
-
-    def window(i: Column) -> Column:
-        length = sum((F.char_length(at(i, k)) for k in range(1, WINDOW)), F.char_length(at(i, 0)))
-        return F.struct(i.alias("place"), F.xxhash64(*[at(i, k) for k in range(WINDOW)]).alias("hash"), length.alias("length"))
-
-    rows = rows.select("id", "version", F.inline(F.transform(F.sequence(F.lit(0), F.size("lines") - WINDOW), window)))
-    return rows.filter(F.col("length") >= MIN_CHARS).drop("length")
+    raw = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            hashes, lengths, counts = [], [], []
+            for text in batch.column(2).to_pylist():
+                lines = [x for x in (p.strip(SPACE) for p in parts_of(text)) if x]
+                counts.append(len(lines))
+                hashes += map(xxhash.xxh3_64_intdigest, lines)
+                lengths += map(len, lines)
+            h, n, counts = np.array(hashes, np.uint64), np.array(lengths, np.int64), np.array(counts, np.int64)
+            doc = np.repeat(np.arange(counts.size), counts)
+            place = np.arange(h.size) - np.repeat(np.cumsum(counts) - counts, counts)
+            last = WINDOW - 1
+            at = np.flatnonzero((doc[last:] == doc[: h.size - last]) & (n[:-2] + n[1:-1] + n[2:] >= MIN_CHARS)) if h.size > last else np.zeros(0, np.int64)
+            w = np.zeros(at.size, np.uint64)
+            for k in range(WINDOW):
+                w = mix(w * GOLDEN + h[at + k])
+            take = pa.array(doc[at])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(place[at], pa.int32()), pa.array(w.view(np.int64))], ["id", "version", "place", "hash"]
+            )
+
+    return raw.mapInArrow(run, raw.drop("text").schema.add("place", "integer").add("hash", "long"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,7 +80,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = windows(docs, id_col, text_col)
     order = F.struct(F.col("id").isNull().alias("z"), "id", "version", "place")
     found = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1").select("hash", "first")
-    rows = rows.withColumn("_salt", salt("id", "place", salts=SALTS)).join(with_salts(found, SALTS), ["hash", "_salt"])
+    rows = rows.join(found, "hash")
     is_first = order.eqNullSafe(F.col("first"))
     return rows.groupBy("id", "version").agg(
         F.collect_set(F.when(~is_first, F.col("place"))).alias("later"), F.collect_set(F.when(is_first, F.col("place"))).alias("first")
@@ -72,15 +96,25 @@ def cleaned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row (the input's columns as a struct), clean, n_lines, removed_lines."""
     hit = repeats(docs, id_col, text_col)
     hit = hit.select("id", "version", F.array_sort(F.array_except(covered(F.col("later")), covered(F.col("first")))).alias("gone"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("own_version"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("own_version"))
     rows = rows.join(hit, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_version") == F.col("version")), "left")
-    parts, lines = lines_of(F.col("text"))
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    some = F.size(gone) > 0
-    out = rows.select("row", "text", gone.alias("removed_lines"), F.size(lines).alias("n_lines"), F.when(some, lines).alias("lines"), F.when(some, parts).alias("parts"))
-    out = out.withColumn("cut", F.transform("removed_lines", lambda i: F.col("lines")[i]["part"]))
-    kept = F.array_join(F.filter("parts", lambda p, i: ~F.array_contains(F.col("cut"), i)), "")
-    return out.select("row", F.when(F.size("removed_lines") > 0, kept).otherwise(F.col("text")).alias("clean"), "n_lines", "removed_lines")
+    rows = rows.select("row", F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts, clean, counts = batch.column(0).field(place).to_pylist(), [], []
+            for text, gone in zip(texts, batch.column(1).to_pylist()):
+                parts = parts_of(text)
+                lines = [i for i, p in enumerate(parts) if p.strip(SPACE)]
+                counts.append(len(lines))
+                if gone:
+                    out = {lines[k] for k in gone}
+                    text = "".join(p for i, p in enumerate(parts) if i not in out)
+                clean.append(text)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(clean, pa.string()), pa.array(counts, pa.int32())], ["row", "removed_lines", "clean", "n_lines"])
+
+    return rows.mapInArrow(run, StructType(list(rows.schema)).add("clean", "string").add("n_lines", "integer"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
