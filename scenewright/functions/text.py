@@ -201,15 +201,12 @@ def bare_json(c: C, opening: str, closing: str) -> Column:
 def json_objects(c: C, schema: str) -> Column:
     """An array of records from a reply that holds a JSON array or a single object; null if neither parses.
 
-    A reply that starts with an object is read as one.
+    A reply whose first bracket opens an object is read as one.
     """
     text, want = strip(F.coalesce(col(c), F.lit(""))), f"array<struct<{schema}>>"
     obj = bare_json(text, "{", "}")
-    array = F.when(F.startswith(F.regexp_replace(text, r"^```(?:json)?\s*", ""), F.lit("{")), F.concat(F.lit("["), obj, F.lit("]"))).otherwise(
-        F.coalesce(F.nullif(bare_json(text, "[", "]"), F.lit("")), F.concat(F.lit("["), obj, F.lit("]")))
-    )
-    valid = F.expr("true") & F.try_parse_json(array).isNotNull() & (array != "[]")
-    return F.when(valid, F.from_json(array, want))
+    array = F.when(F.regexp_extract(text, r"[\[{]", 0) == "{", F.concat(F.lit("["), obj, F.lit("]"))).otherwise(bare_json(text, "[", "]"))
+    return F.when(F.try_parse_json(array).isNotNull() & (array != "[]"), F.from_json(array, want))
 
 
 def json_object(c: C, schema: str) -> Column:
