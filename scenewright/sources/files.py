@@ -105,7 +105,7 @@ def write_examples(examples: DataFrame, path: str) -> None:
 def write_lexicon(counts: DataFrame, path: str) -> None:
     """A nested map of counts: key kind, key, slang."""
     per_key = counts.groupBy("key_kind", "key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slang", "cnt")))).alias("slangs"))
-    per_kind = per_key.groupBy("key_kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "slangs")))).alias("keys"))
+    per_kind = per_key.groupBy("key_kind").agg(F.map_from_entries(F.collect_list(F.struct("key", "slangs"))).alias("keys"))
     write_json(per_kind, path)
 
 
