@@ -14,7 +14,8 @@ texts can reach, and walks it. Everything that is shipped is fixed-width and pac
 row per block and shard, whatever the number of tokens, and a frequent n-gram is one entry
 per block.
 
-N-grams are told apart by 63-bit hashes.
+Words are told apart by 64-bit hashes, longer n-grams by hashes with SPARE_BITS bits more
+than it takes to number the corpus's n-grams.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import GOLDEN, WordHashes, checkpointed, lower_words, mix, text_byt
 ORDER = 2
 #: Text in a block, and n-grams in a shard, roughly; n-grams in a byte of text.
 BLOCK_BYTES, SHARD_NGRAMS, NGRAMS_PER_BYTE = 4 << 20, 4_000_000, 0.12
+#: Bits of an n-gram's hash beyond those that number all n-grams.
+SPARE_BITS = 20
 # The share of a history's own estimate is SHARE + SLOPE * log2(its count),
 # MOST at most.
 SHARE, SLOPE, MOST = 0.3, 0.035, 0.7
@@ -44,29 +47,38 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Integers as differences, byte planes apart, compressed."""
-    d = np.diff(x.astype(np.uint64), prepend=np.uint64(0))
+def pack_keys(x: np.ndarray, bits: int) -> bytes:
+    """Sorted hashes as differences of their first ``bits`` bits, byte planes apart, compressed."""
+    d = np.diff(x >> np.uint64(64 - bits), prepend=np.uint64(0))
     planes = np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
     return len(d).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def unpack(b: bytes) -> np.ndarray:
+def unpack_keys(b: bytes, bits: int) -> np.ndarray:
     n = int.from_bytes(b[:8], "little")
-    if not n:
-        return np.zeros(0, np.uint64)
     planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64) << np.uint64(64 - bits)
+
+
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest takes, compressed."""
+    size = next(k for k in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << (8 * k))
+    return bytes([size]) + len(x).to_bytes(8, "little") + pa.compress(x.astype(f"u{size}").tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_counts(b: bytes) -> np.ndarray:
+    size, n = b[0], int.from_bytes(b[1:9], "little")
+    return np.frombuffer(pa.decompress(b[9:], decompressed_size=size * n, codec="zstd", asbytes=True), f"u{size}").astype(np.int64)
 
 
 class Grams:
     """All n-grams of a block's texts, laid end to end.
 
     ``grams[k]`` has the key of the (k + 1)-gram that ends at each token; ``histories[k]``
-    that of the k + 1 tokens before it. Keys of single words have their lowest bit set.
+    that of the k + 1 tokens before it; ``starts[k]`` those of the marks before a text.
     """
 
-    def __init__(self, texts: list[bytes | None], memo: WordHashes, order: int):
+    def __init__(self, texts: list[bytes | None], memo: WordHashes, order: int, bits: int):
         pad, pieces, sizes = np.full(order - 1, START), [], []
         for t in texts:
             h = memo.of(lower_words(t))
@@ -78,30 +90,26 @@ class Grams:
         starts = np.cumsum(self.sizes + order - 1) - (self.sizes + order - 1)
         for k in range(order - 1):
             real[starts + k] = False
-        g, grams, self.histories = mix(tokens), [], []
-        one = g | np.uint64(1)
-        one[~real] &= ~np.uint64(1)
-        grams.append(one)
+        grams, cut = [mix(tokens)], np.uint64(64 - bits)
         for _ in range(order - 1):
-            g = mix((np.concatenate([[START], g[:-1]]) * GOLDEN) ^ tokens) if g.size else g
-            grams.append(g & ~np.uint64(1))
+            g = grams[-1]
+            grams.append((mix((np.concatenate([[START], g[:-1]]) * GOLDEN) ^ tokens) if g.size else g) >> cut << cut)
         self.grams = [x[real] for x in grams]
         at = np.flatnonzero(real)
         self.histories = [x[at - 1] for x in grams[:-1]]
-        self.starts = [x[~real] for x in grams[:-1]]
+        self.starts = [x[~real] for x in grams[:-1]] + [np.zeros(0, np.uint64)]
 
-    def keys(self) -> np.ndarray:
-        return np.unique(np.concatenate([*self.grams, *self.starts]))
+    def keys(self) -> list[np.ndarray]:
+        """The distinct keys of each length."""
+        return [np.unique(np.concatenate([g, s])) for g, s in zip(self.grams, self.starts)]
 
-    def counts(self, keys: np.ndarray, train: np.ndarray) -> np.ndarray:
+    def counts(self, keys: list[np.ndarray], train: np.ndarray) -> list[np.ndarray]:
         """How often each key stands in the texts with ``train`` set."""
-        out = np.zeros(keys.size, np.int64)
-        mask = np.repeat(train, self.sizes)
-        for g in self.grams:
-            out += np.bincount(np.searchsorted(keys, g[mask]), minlength=keys.size)
-        for s in self.starts:
-            per_text = s.reshape(len(train), -1)[train].ravel() if s.size else s
-            out += np.bincount(np.searchsorted(keys, per_text), minlength=keys.size)
+        mask, out = np.repeat(train, self.sizes), []
+        for k, g, s in zip(keys, self.grams, self.starts):
+            n = np.bincount(np.searchsorted(k, g[mask]), minlength=k.size)
+            own = s.reshape(len(train), -1)[train].ravel() if s.size else s
+            out.append(n + np.bincount(np.searchsorted(k, own), minlength=k.size))
         return out
 
 
@@ -112,15 +120,16 @@ def share(count: np.ndarray) -> np.ndarray:
 class Automaton:
     """The part of the automaton that a block's texts can reach.
 
-    ``totals`` are the training counts of ``keys``; ``n`` and ``v`` all training tokens
-    and distinct ones.
+    ``totals`` are the training counts of ``keys``, for each length; ``n`` and ``v`` all
+    training tokens and distinct ones.
     """
 
-    def __init__(self, keys: np.ndarray, totals: np.ndarray, n: int, v: int):
-        self.keys, self.totals, self.n, self.v = keys, totals.astype(np.float64), n, v
+    def __init__(self, keys: list[np.ndarray], totals: list[np.ndarray], n: int, v: int):
+        self.keys, self.totals, self.n, self.v = keys, [t.astype(np.float64) for t in totals], n, v
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        return self.totals[np.searchsorted(self.keys, keys)]
+    def count(self, length: int, keys: np.ndarray) -> np.ndarray:
+        """Training counts of n-grams of a length."""
+        return self.totals[length - 1][np.searchsorted(self.keys[length - 1], keys)]
 
     def walk(self, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, known tokens, base score and the log10 probability of the path.
@@ -128,13 +137,13 @@ class Automaton:
         The state before a token is the longest of its histories that was seen; all texts
         walk abreast, since what is seen of a history doesn't depend on the path to it.
         """
-        word = self.count(grams.grams[0])
+        word = self.count(1, grams.grams[0])
         root = np.log10((word + 1) / (self.n + self.v + 1))
         weight = root.copy()  # of the path from the root state on
-        for history, gram in zip(grams.histories, grams.grams[1:]):
-            seen = self.count(history)  # 0: no such state, the walk is at a shorter history
+        for length, (history, gram) in enumerate(zip(grams.histories, grams.grams[1:]), 1):
+            seen = self.count(length, history)  # 0: no such state, the walk is at a shorter history
             own = share(seen)
-            arc = np.log10(own * self.count(gram) / np.maximum(seen, 1) + (1 - own) * 10**weight)
+            arc = np.log10(own * self.count(length + 1, gram) / np.maximum(seen, 1) + (1 - own) * 10**weight)
             weight = np.where(seen > 0, arc, weight)  # without the word's arc this is the failure arc's weight plus the rest
         edges = np.concatenate([[0], np.cumsum(grams.sizes)])
         add = lambda x: np.add.reduceat(x, edges[:-1]) if len(grams.sizes) else np.zeros(0)
@@ -142,46 +151,54 @@ class Automaton:
         return grams.sizes, add((word > 0).astype(np.int64)), base, add(weight)
 
 
-def requests(blocked: DataFrame, order: int, shards_log: int) -> DataFrame:
-    """shard, block, keys, counts: what each block asks each shard, and adds to it."""
+def width(length: int, bits: int) -> int:
+    return 64 if length == 1 else bits
+
+
+def requests(blocked: DataFrame, order: int, shards_log: int, bits: int) -> DataFrame:
+    """shard, block, length, keys, counts: what each block asks each shard, and adds to it."""
 
     def run(t: pa.Table) -> pa.Table:
-        grams = Grams(t["t"].to_pylist(), WordHashes(), order)
+        grams = Grams(t["t"].to_pylist(), WordHashes(), order, bits)
         keys = grams.keys()
         counts = grams.counts(keys, ~t["held_out"].to_numpy(zero_copy_only=False))
-        cut = np.searchsorted(keys, np.arange(1, 1 << shards_log, dtype=np.uint64) << np.uint64(64 - shards_log))
-        packs = [(k, pack(a), pack(c)) for k, (a, c) in enumerate(zip(np.split(keys, cut), np.split(counts, cut))) if a.size]
+        edges = np.arange(1, 1 << shards_log, dtype=np.uint64) << np.uint64(64 - shards_log)
+        packs = []
+        for length, (k, c) in enumerate(zip(keys, counts), 1):
+            cut = np.searchsorted(k, edges)
+            packs += [(s, length, pack_keys(a, width(length, bits)), pack_counts(n)) for s, (a, n) in enumerate(zip(np.split(k, cut), np.split(c, cut))) if a.size]
         return pa.table(
             {
-                "shard": pa.array([p[0] for p in packs], pa.int32()), "block": pa.array([t["block"][0].as_py()] * len(packs), pa.int64()),
-                "keys": pa.array([p[1] for p in packs], pa.binary()), "counts": pa.array([p[2] for p in packs], pa.binary()),
+                "shard": pa.array([p[0] for p in packs], pa.int32()), "block": pa.array([t["block"][0].as_py()] * len(packs), pa.int64()), "length": pa.array([p[1] for p in packs], pa.int32()),
+                "keys": pa.array([p[2] for p in packs], pa.binary()), "counts": pa.array([p[3] for p in packs], pa.binary()),
             }
         )
 
-    return blocked.groupBy("block").applyInArrow(run, "shard int, block long, keys binary, counts binary")
+    return blocked.groupBy("block").applyInArrow(run, "shard int, block long, length int, keys binary, counts binary")
 
 
-def answers(asked: DataFrame) -> DataFrame:
-    """shard, block, totals of the block's keys; and per shard a row without block: n, v."""
+def answers(asked: DataFrame, bits: int) -> DataFrame:
+    """shard, block, length, totals of the block's keys; and per shard of words a row without block: n, v."""
+    start = mix(np.array([START]))
 
     def run(t: pa.Table) -> pa.Table:
-        keys = [unpack(k) for k in t["keys"].to_pylist()]
+        length, shard = t["length"][0].as_py(), t["shard"][0].as_py()
+        keys = [unpack_keys(k, width(length, bits)) for k in t["keys"].to_pylist()]
         union = np.unique(np.concatenate(keys))
         totals = np.zeros(union.size, np.int64)
         at = [np.searchsorted(union, k) for k in keys]
         for a, c in zip(at, t["counts"].to_pylist()):
-            totals[a] += unpack(c).astype(np.int64)
-        words = totals[(union & np.uint64(1)) == 1]
-        shard = t["shard"][0].as_py()
+            totals[a] += unpack_counts(c)
+        words = totals[union != start[0]] if length == 1 else np.zeros(0, np.int64)
         return pa.table(
             {
-                "shard": pa.array([shard] * (len(at) + 1), pa.int32()), "block": pa.array([*t["block"].to_pylist(), None], pa.int64()),
-                "totals": pa.array([*[pack(totals[a]) for a in at], None], pa.binary()),
+                "shard": pa.array([shard] * (len(at) + 1), pa.int32()), "block": pa.array([*t["block"].to_pylist(), None], pa.int64()), "length": pa.array([length] * (len(at) + 1), pa.int32()),
+                "totals": pa.array([*[pack_counts(totals[a]) for a in at], None], pa.binary()),
                 "n": pa.array([None] * len(at) + [int(words.sum())], pa.int64()), "v": pa.array([None] * len(at) + [int(np.count_nonzero(words))], pa.int64()),
             }
         )
 
-    return asked.groupBy("shard").applyInArrow(run, "shard int, block long, totals binary, n long, v long")
+    return asked.groupBy("shard", "length").applyInArrow(run, "shard int, block long, length int, totals binary, n long, v long")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, held_out: Column | None = None) -> DataFrame:
@@ -197,18 +214,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     _, size = total_bytes(docs, text_col)
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     shards_log = max(4, int(size * NGRAMS_PER_BYTE / SHARD_NGRAMS).bit_length())
+    bits = min(64, max(40, int(size * NGRAMS_PER_BYTE + 1).bit_length() + SPARE_BITS))
     t = text_bytes(docs, text_col)
     block = F.pmod(F.xxhash64(F.col(id_col), t), F.lit(n_blocks))
     blocked = docs.select(F.col(id_col).alias("id"), (is_held_out(id_col) if held_out is None else held_out).alias("held_out"), t.alias("t"), block.alias("block"))
-    got = checkpointed(answers(requests(blocked, order, shards_log)))
+    got = checkpointed(answers(requests(blocked, order, shards_log, bits), bits))
     total = got.filter("block is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"] or 0)
 
     def run(texts: pa.Table, packs: pa.Table) -> pa.Table:
-        grams = Grams(texts["t"].to_pylist(), WordHashes(), order)
-        packs = packs.sort_by("shard")
-        totals = [unpack(x) for x in packs["totals"].to_pylist()]
-        automaton = Automaton(grams.keys(), np.concatenate(totals or [np.zeros(0)]), n, v)
+        grams = Grams(texts["t"].to_pylist(), WordHashes(), order, bits)
+        totals: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(order)]
+        for p in packs.sort_by("shard").to_pylist():
+            totals[p["length"] - 1].append(unpack_counts(p["totals"]))
+        automaton = Automaton(grams.keys(), [np.concatenate(x) for x in totals], n, v)
         tokens, known, base, score = automaton.walk(grams)
         return pa.table(
             {
@@ -217,6 +236,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             }
         )
 
-    packs = got.filter("block is not null").select("block", "shard", "totals")
+    packs = got.filter("block is not null").select("block", "shard", "length", "totals")
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocked.groupBy("block").cogroup(packs.groupBy("block")).applyInArrow(run, schema)
