@@ -88,9 +88,10 @@ def probabilities(cells: DataFrame, dims: list[str], powers: Mapping[str, float]
     return raked.select(*dims, "weight", p.alias("probability"))
 
 
-def mix(docs: DataFrame, powers: Mapping[str, float] | None = None, keep_share: float = KEEP_SHARE, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, powers: Mapping[str, float] | None = None, keep_share: float = KEEP_SHARE, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, topic: Column | None = None) -> DataFrame:
     """``id, source, lang, topic, n_tokens, weight, probability, sampled`` and ``keep`` of every row.
 
+    ``topic`` is a column expression; by default the bucket of the text's longest word.
     ``powers`` damp each marginal's token shares into its target (source and lang 0.5,
     topic 0 by default). A null source or language is a value of its own. Texts without
     words have probability 0. Rows that repeat an id are kept or left together where
@@ -100,7 +101,7 @@ def mix(docs: DataFrame, powers: Mapping[str, float] | None = None, keep_share:
     dims = ["source", "lang", "topic"]
     keep = keep or []
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col("source"), F.col("lang"), topic_of(F.col(text_col)).alias("topic"), n_tokens(F.col(text_col)).alias("n_tokens"),
+        F.col(id_col).alias("id"), F.col("source"), F.col("lang"), (topic_of(F.col(text_col)) if topic is None else topic).alias("topic"), n_tokens(F.col(text_col)).alias("n_tokens"),
         *[F.col(c).alias(f"_keep_{c}") for c in keep],
     )
     cells = checkpointed(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")))
