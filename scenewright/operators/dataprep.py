@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..functions.similarity import partial_ratio, token_sort_ratio
 from .relational import complement, keep_first, split_by_share
 
-#: Raw column names and what they become.
+# The raw file's column names, and ours.
 RAW_COLUMNS = {
     "neutral hinglish sentence": "neutral", "context": "context", "social_context": "social_context", "Possible Slangs": "possible_slangs", "Slang Location": "slang_location",
     "Multiple positions allowed?": "multiple", "Control tokens": "control_tokens", "function": "function", "output sentence": "output",
