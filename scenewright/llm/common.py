@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 import numpy as np
 import xxhash
@@ -34,6 +36,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared checkpoint folder and read again, and its path.
+
+    For loops: a checkpoint carries the size estimates of its plan along, which joins
+    multiply in every round until the numbers themselves fill the driver; files have sizes.
+    """
+    spark = df.sparkSession
+    checkpointed(spark.range(0))
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing refers to any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def salt(*cols: Column | str, salts: int) -> Column:
     """A salt in [0, salts) that spreads the rows of a hot key."""
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
@@ -83,5 +104,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+def release(spark: SparkSession) -> None:
+    """Lets go of plans, shuffle files, broadcasts and checkpoints that nothing refers to any more.
+
+    Spark's cleaner follows the driver's garbage collector; a long chain of small jobs
+    fills shared disk and the driver's memory long before that would run by itself.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

@@ -17,22 +17,23 @@ Equal sets are one *node*. Steps:
    and every other node of the bucket is compared with it;
 3. nodes of a bucket that aren't connected by then are compared in blocks: families of
    connected buckets are cut into blocks of a bounded number of nodes, pairs of blocks meet
-   in one task, parity sketches (a lower bound of the difference) rule out most pairs, and
-   the rest is verified exactly. A task returns only links that connect something new;
+   in one task, and there all pairs that share a bucket are looked at. A task returns only
+   links that connect something new;
 4. connected components of the links.
+
+Before sets are fetched, parity sketches (a lower bound of the difference) rule pairs out;
+only documents with a pair that is left are read for their sets, and verified exactly.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, checkpointed, lower_words, mix, text_bytes, total_bytes
+from .common import GOLDEN, WordHashes, checkpointed, lower_words, mix, release, remove, text_bytes, total_bytes, written
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -40,8 +41,8 @@ SHINGLE = 5
 THRESHOLD = 80
 #: Partitionings a set is signed under at most.
 SEEDS = 4
-#: Bits of the bitmaps of repeated signatures and of candidate nodes (32 MB each).
-BITMAP_LOG = 28
+#: Bits of the bitmaps of repeated signatures and of wanted documents (8 MB each).
+BITMAP_LOG = 26
 #: Signatures a task gathers before it sends them off, and those of one shard.
 CHUNK_SIGNATURES, SHARD_SIGNATURES = 2_000_000, 4_000_000
 #: Signatures in a byte of text, roughly: decides the number of shards only.
@@ -49,7 +50,7 @@ SIGNATURES_PER_BYTE = 0.08
 #: Nodes in a block.
 BLOCK_NODES = 2048
 #: 64-bit words of a parity sketch.
-SKETCH_WORDS = 4
+SKETCH_WORDS = 16
 
 
 def shingle_set(text: bytes | None, memo: WordHashes) -> np.ndarray:
@@ -130,6 +131,11 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def may_link(apart, na, nb):
+    """Whether sets of these sizes whose sketches differ in ``apart`` bins may be linked; for numbers, arrays and columns."""
+    return (apart * (100 + THRESHOLD) <= (na + nb) * (100 - THRESHOLD)) & (na * 100 >= nb * THRESHOLD) & (nb * 100 >= na * THRESHOLD)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if a.size * 100 < b.size * THRESHOLD or b.size * 100 < a.size * THRESHOLD:
         return False
@@ -159,50 +165,54 @@ def sets_of(batches, column: int):
         yield batch, [shingle_set(t, memo) for t in batch.column(column).to_pylist()]
 
 
-def members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, node of every row; an empty set has no node."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        for batch, sets in sets_of(batches, 1):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([node_of(s) if s.size else None for s in sets], pa.int64())],
-                ["id", "n_shingles", "node"],
-            )
-
-    return docs.select(F.col(id_col).alias("id"), text_bytes(docs, text_col).alias("t")).mapInArrow(run, f"id {id_type}, n_shingles long, node long")
-
+def read_once(docs: DataFrame, id_col: str, text_col: str, shards_log: int) -> DataFrame:
+    """Two kinds of rows from one pass over the texts.
 
-def repeated_signatures(texts: DataFrame, shards_log: int) -> bytes:
-    """The bitmap of signatures that occur in two different places."""
+    Per document: id, n, node and sketch of its set (no node for an empty set). Per chunk
+    of documents and shard: packed signatures, those that occur and those that occur twice.
+    """
+    id_type = docs.schema[id_col].dataType
     shards = 1 << shards_log
+    names = ["id", "n", "node", "sketch", "shard", "once", "again"]
+
+    def rows(arrays: dict, size: int, id_arrow) -> pa.RecordBatch:
+        kinds = {"id": id_arrow, "n": pa.int64(), "node": pa.int64(), "sketch": pa.binary(), "shard": pa.int32(), "once": pa.binary(), "again": pa.binary()}
+        return pa.RecordBatch.from_arrays([arrays.get(k, pa.nulls(size, kinds[k])) for k in names], names)
 
-    def pack(sigs: list[np.ndarray]) -> pa.RecordBatch:
+    def pack(sigs: list[np.ndarray], id_arrow) -> pa.RecordBatch:
         s = np.sort(np.concatenate(sigs))
         fresh = np.concatenate([[True], s[1:] != s[:-1]])
         again = np.unique(s[1:][~fresh[1:]])
         s = s[fresh]
         edges = np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - shards_log)
         cut, cut2 = np.split(s, np.searchsorted(s, edges)), np.split(again, np.searchsorted(again, edges))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(range(shards), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary()), pa.array([x.tobytes() for x in cut2], pa.binary())], ["shard", "once", "again"]
-        )
+        packed = {"shard": pa.array(range(shards), pa.int32()), "once": pa.array([x.tobytes() for x in cut], pa.binary()), "again": pa.array([x.tobytes() for x in cut2], pa.binary())}
+        return rows(packed, shards, id_arrow)
 
-    def sign(batches):
-        held, size, seen = [], 0, set()
-        for _, sets in sets_of(batches, 0):
-            for s in sets:
-                if not s.size or (node := node_of(s)) in seen:
-                    continue
-                seen.add(node)
-                got = signatures(s)
-                held.append(got)
-                size += got.size
-                if size >= CHUNK_SIGNATURES:
-                    yield pack(held)
-                    held, size, seen = [], 0, set()
+    def run(batches):
+        held, size, seen, kind = [], 0, set(), None
+        for batch, sets in sets_of(batches, 1):
+            kind = batch.column(0).type
+            nodes = [node_of(s) if s.size else None for s in sets]
+            for s, node in zip(sets, nodes):
+                if s.size and node not in seen:
+                    seen.add(node)
+                    held.append(signatures(s))
+                    size += held[-1].size
+            own = {"id": batch.column(0), "n": pa.array([s.size for s in sets], pa.int64()), "node": pa.array(nodes, pa.int64()), "sketch": pa.array([sketch(s) for s in sets], pa.binary())}
+            yield rows(own, len(sets), kind)
+            if size >= CHUNK_SIGNATURES:
+                yield pack(held, kind)
+                held, size, seen = [], 0, set()
         if size:
-            yield pack(held)
+            yield pack(held, kind)
+
+    schema = f"id {id_type.simpleString()}, n long, node long, sketch binary, shard int, once binary, again binary"
+    return docs.select(F.col(id_col).alias("id"), text_bytes(docs, text_col).alias("t")).mapInArrow(run, schema)
+
+
+def repeated_signatures(packs: DataFrame, shards_log: int) -> bytes:
+    """The bitmap of signatures that occur in two different places."""
 
     def merge(rows: pa.Table) -> pa.Table:
         bits = np.zeros(1 << (BITMAP_LOG - shards_log), np.uint8)
@@ -212,10 +222,9 @@ def repeated_signatures(texts: DataFrame, shards_log: int) -> bytes:
         bits[(at & np.uint64(bits.size - 1)).astype(np.int64)] = 1
         return pa.table({"shard": pa.array([rows["shard"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    rows = texts.mapInArrow(sign, "shard int, once binary, again binary")
-    slices = {r["shard"]: bytes(r["bits"]) for r in rows.groupBy("shard").applyInArrow(merge, "shard int, bits binary").collect()}
+    slices = {r["shard"]: bytes(r["bits"]) for r in packs.groupBy("shard").applyInArrow(merge, "shard int, bits binary").collect()}
     blank = bytes(1 << (BITMAP_LOG - shards_log - 3))
-    return b"".join(slices.get(k, blank) for k in range(shards))
+    return b"".join(slices.get(k, blank) for k in range(1 << shards_log))
 
 
 def flagged_rows(texts: DataFrame, bitmap: bytes) -> DataFrame:
@@ -241,70 +250,83 @@ def flagged_rows(texts: DataFrame, bitmap: bytes) -> DataFrame:
     return texts.mapInArrow(run, "sig long, node long")
 
 
-def node_bitmap(nodes: DataFrame) -> bytes:
-    """The bitmap of a column of nodes, made by built-in aggregates; at most 2**BITMAP_LOG bits."""
-    position = F.shiftrightunsigned(F.col("node").bitwiseXOR(F.lit(-(1 << 63))), 64 - BITMAP_LOG)
-    rows = nodes.select((position / 32768).cast("long").alias("k"), (position % 32768).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
+def bitmap_of(hashes: DataFrame) -> bytes:
+    """The bitmap of a column ``h`` of signed hashes, made by built-in aggregates."""
+    position = F.shiftrightunsigned("h", 64 - BITMAP_LOG)
+    rows = hashes.select((position / 32768).cast("long").alias("k"), (position % 32768).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
     out = bytearray(1 << (BITMAP_LOG - 3))
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         out[r["k"] * 4096 : (r["k"] + 1) * 4096] = bytes(r["bits"])
     return bytes(out)
 
 
-def node_sets(texts: DataFrame, bitmap: bytes) -> DataFrame:
-    """node, n, sketch (longs) and set of the nodes whose bit is set."""
-    held = texts.sparkSession.sparkContext.broadcast(bitmap)
+def fetch_sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, elements of the wanted nodes.
+
+    ``nodes`` (node, first) tells a document that has the node's set. A bitmap of those
+    documents' ids is asked before a text is read at all; hits by chance do no harm.
+    """
+    ids = nodes.join(wanted.distinct(), "node").select(F.xxhash64("first").alias("h"))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids))
 
     def run(batches):
-        bits, seen = Bits(held.value), set()
-        for _, sets in sets_of(batches, 0):
-            rows = []
-            nodes = np.array([unsigned(node_of(s)) if s.size else 0 for s in sets], np.uint64)
-            for s, node, hit in zip(sets, nodes.tolist(), bits.has(nodes).tolist()):
-                if s.size and hit and node not in seen:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add(node)
-                    rows.append((node - (1 << 63), s))
-            parts = [np.frombuffer(sketch(s), np.int64) for _, s in rows]
-            cols = [pa.array([x for x, _ in rows], pa.int64()), pa.array([s.size for _, s in rows], pa.int64())]
-            cols += [pa.array([int(p[k]) for p in parts], pa.int64()) for k in range(SKETCH_WORDS)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for _, s in rows], pa.binary())], ["node", "n", *[f"k{k}" for k in range(SKETCH_WORDS)], "elements"])
+        bits, memo = Bits(held.value), WordHashes()
+        for batch in batches:
+            hit = bits.has(batch.column(0).to_numpy().view(np.uint64))
+            batch = batch.filter(pa.array(hit))
+            sets = [shingle_set(x, memo) for x in batch.column(1).to_pylist()]
+            sets = [s for s in sets if s.size]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
 
-    schema = "node long, n long, " + ", ".join(f"k{k} long" for k in range(SKETCH_WORDS)) + ", elements binary"
-    return texts.mapInArrow(run, schema).dropDuplicates(["node"])
+    rows = docs.select(F.xxhash64(id_col).alias("h"), text_bytes(docs, text_col).alias("t")).mapInArrow(run, "node long, elements binary")
+    return rows.join(wanted.distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """node, component (its smallest node) of every node of the edges.
 
-    Each round a node takes the smallest label around it, then its label's label.
+    Each round a node takes the smallest label around it, then its label's label. With a
+    number of ``rounds`` labels may not be final: equal ones are connected all the same.
     """
-    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a))).distinct()
-    both = checkpointed(both)
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        new = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("c"), F.col("component").alias("old"))
-        jump = new.select(F.col("node").alias("c"), F.col("c").alias("cc"))
-        new = checkpointed(new.join(jump, "c", "left").select("node", F.least(F.col("c"), F.coalesce("cc", "c")).alias("component"), "old"))
-        if new.filter("component <> old").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
-
-
-def star_links(active: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links between the nodes of a bucket and its pivot."""
+    spark = edges.sparkSession
+    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a)))
+    both, _ = written(both.distinct())
+    labels, path = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    done = 0
+    while rounds is None or done < rounds:
+        around = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("old"))
+        beyond = labels.select(F.col("node").alias("start"), F.col("component").alias("at")).join(labels, F.col("at") == F.col("node"))
+        beyond = beyond.select(F.col("start").alias("node"), "component", F.lit(None).cast("long").alias("old"))
+        every = around.union(beyond).union(labels.select("node", "component", F.col("component").alias("old")))
+        new, next_path = written(every.groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old")))
+        remove(spark, path)
+        labels, path, done = new.select("node", "component"), next_path, done + 1
+        if rounds is None and new.filter("component <> old").isEmpty():
+            break
+    release(spark)
+    return labels
+
+
+def star_candidates(active: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: a bucket's pivot and each of its other nodes, if sizes and sketches let them be linked."""
     edges = active.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    narrow = sets.drop("elements")
-    one = narrow.select(F.col("node").alias("a"), F.col("n").alias("na"), *[F.col(f"k{k}").alias(f"a{k}") for k in range(SKETCH_WORDS)])
-    two = narrow.select(F.col("node").alias("b"), F.col("n").alias("nb"), *[F.col(f"k{k}").alias(f"b{k}") for k in range(SKETCH_WORDS)])
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SKETCH_WORDS)])
-    edges = edges.join(one, "a").join(two, "b")
-    near = (apart * (100 + THRESHOLD) <= (F.col("na") + F.col("nb")) * (100 - THRESHOLD)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * THRESHOLD)
-    edges = edges.filter(near).select("a", "b")
-    edges = edges.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
-    edges = edges.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
+    for side in "ab":
+        edges = edges.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+
+    def prune(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS) for k in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            ok = may_link(apart, batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return edges.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(prune, "a long, b long")
+
+
+def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges whose sets are linked."""
+    for side in "ba":
+        edges = edges.join(sets.select(F.col("node").alias(side), F.col("elements").alias(f"e{side}")), side)
 
     def verify(batches):
         for batch in batches:
@@ -314,36 +336,75 @@ def star_links(active: DataFrame, sets: DataFrame) -> DataFrame:
     return edges.select("a", "b", "ea", "eb").mapInArrow(verify, "a long, b long")
 
 
-def connect(node: list, label: np.ndarray, k: np.ndarray, n: np.ndarray, sets: list, side: np.ndarray) -> list[tuple[int, int]]:
-    """Links between nodes of different labels that connect something new.
+class Block:
+    """Nodes of one task: a block, or two of which only pairs across count."""
 
-    ``side``: 0 or 1 where only pairs across count, 2 for all of one block.
+    def __init__(self, t: pa.Table):
+        self.node = t["node"].to_numpy()
+        self.label = t["label"].to_numpy().copy()
+        self.n = t["n"].to_numpy()
+        self.sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+        block = t["block"].to_numpy()
+        self.side = (block != block.min()).astype(int)
+        self.within = bool(t["own"][0].as_py())
+        sizes = [len(x) for x in t["sigs"].to_pylist()]
+        sig = t["sigs"].combine_chunks().flatten().to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(sig, kind="stable")
+        cut = np.flatnonzero(np.diff(sig[order])) + 1
+        self.groups = [g for g in np.split(row[order], cut) if g.size > 1]
+        self.of: list[list[int]] = [[] for _ in sizes]
+        for k, g in enumerate(self.groups):
+            for i in g.tolist():
+                self.of[i].append(k)
+
+    def partners(self, i: int) -> np.ndarray:
+        """Nodes after i that share a bucket with it, aren't connected with it and may be linked."""
+        hit = np.zeros(self.node.size, bool)
+        for k in self.of[i]:
+            hit[self.groups[k]] = True
+        hit[: i + 1] = False
+        hit &= self.label != self.label[i]
+        if not self.within:
+            hit &= self.side != self.side[i]
+        at = np.flatnonzero(hit)
+        if at.size:
+            apart = np.bitwise_count(self.sketch[at] ^ self.sketch[i]).sum(axis=1, dtype=np.int64)
+            at = at[may_link(apart, self.n[at], self.n[i])]
+        return at
+
+    def wanted(self) -> np.ndarray:
+        """Nodes with a partner."""
+        out = np.zeros(self.node.size, bool)
+        for i in range(self.node.size):
+            at = self.partners(i)
+            if at.size:
+                out[i] = out[at] = True
+        return self.node[out]
+
+    def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links that connect something new."""
+        out = []
+        for i in range(self.node.size):
+            for j in self.partners(i).tolist():
+                if self.label[i] != self.label[j] and linked(sets[i], sets[j]):
+                    out.append((int(self.node[i]), int(self.node[j])))
+                    self.label[self.label == self.label[j]] = self.label[i]
+        return out
+
+
+def residual_tasks(active: DataFrame, labels: DataFrame, block_nodes: int) -> DataFrame:
+    """task, own, block, node, label, sigs: nodes of buckets that are still in parts, dealt to tasks.
+
+    In each family of connected buckets the largest connected part is cut into blocks that
+    are never compared with each other, only with the blocks of all others.
     """
-    out, label = [], label.copy()
-    for i in range(len(node)):
-        over = slice(i + 1, None)
-        can = (label[over] != label[i]) & ((side[over] != side[i]) | (side[i] == 2))
-        can &= (np.minimum(n[over], n[i]) * 100 >= np.maximum(n[over], n[i]) * THRESHOLD)
-        at = np.flatnonzero(can) + i + 1
-        if not at.size:
-            continue
-        apart = np.bitwise_count(k[at] ^ k[i]).sum(axis=1, dtype=np.int64)
-        for j in at[apart * (100 + THRESHOLD) <= (n[at] + n[i]) * (100 - THRESHOLD)].tolist():
-            if label[i] != label[j] and linked(sets[i], sets[j]):
-                out.append((node[i], node[j]))
-                label[label == label[j]] = label[i]
-    return out
-
-
-def residual_links(active: DataFrame, sets: DataFrame, labels: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """a, b: links between nodes that share a bucket but aren't connected by ``labels``."""
     rows = active.filter("nodes > 2").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     open_ = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("first")).filter("lo < hi").select("sig", "first")
     rows = checkpointed(rows.join(open_, "sig").select("sig", "node", "label", "first"))
     family = components(rows.select("node", "first"), "node", "first").withColumnRenamed("component", "family")
-    nodes = rows.select("node", "label").distinct().join(family, "node")
+    nodes = rows.groupBy("node", "label").agg(F.collect_list("sig").alias("sigs")).join(family, "node")
     size = nodes.groupBy("family", "label").agg(F.count("*").alias("m"))
-    # In each family the largest connected part is never compared with itself.
     main = size.groupBy("family").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("in_main"), F.sum("m").alias("all"))
     main = main.select("family", "main", F.ceil(F.col("in_main") / block_nodes).cast("int").alias("bm"), F.ceil((F.col("all") - F.col("in_main")) / block_nodes).cast("int").alias("bo"))
     nodes = nodes.join(main, "family").withColumn("is_main", F.col("label") == F.col("main"))
@@ -351,20 +412,31 @@ def residual_links(active: DataFrame, sets: DataFrame, labels: DataFrame, block_
     nodes = nodes.withColumn("block", F.when(F.col("is_main"), F.pmod(h, F.col("bm"))).otherwise(F.col("bm") + F.pmod(h, F.col("bo"))).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("bo") - 1), lambda j: F.col("bm") + j)
     every = F.transform(F.sequence(F.lit(0), F.col("bm") + F.col("bo") - 1), lambda j: j)
-    meets = F.when(F.col("is_main"), others).otherwise(every)
-    nodes = nodes.select("family", "node", "label", "block", F.explode(meets).alias("with"))
-    nodes = nodes.select("node", "label", "block", F.xxhash64("family", F.least("block", "with"), F.greatest("block", "with")).alias("task"), (F.col("block") == F.col("with")).alias("own"))
-    nodes = nodes.join(sets, "node")
+    nodes = nodes.select("family", "node", "label", "sigs", "block", F.explode(F.when(F.col("is_main"), others).otherwise(every)).alias("with"))
+    task = F.xxhash64("family", F.least("block", "with"), F.greatest("block", "with"))
+    return checkpointed(nodes.select(task.alias("task"), (F.col("block") == F.col("with")).alias("own"), "block", "node", "label", "sigs"))
+
+
+def residual_wanted(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node: those that sizes and sketches leave a partner."""
+
+    def run(t: pa.Table) -> pa.Table:
+        return pa.table({"node": pa.array(Block(t.sort_by("node")).wanted(), pa.int64())})
+
+    rows = tasks.join(nodes.select("node", "n", "sketch"), "node")
+    return rows.groupBy("task").applyInArrow(run, "node long").distinct()
+
+
+def residual_links(tasks: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: verified links that connect something new."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
-        block = t["block"].to_numpy()
-        side = np.where(t["own"].to_numpy(zero_copy_only=False), 2, (block != block.min()).astype(int))
-        k = np.stack([t[f"k{i}"].to_numpy().view(np.uint64) for i in range(SKETCH_WORDS)], axis=1)
-        got = connect(t["node"].to_pylist(), t["label"].to_numpy(), k, t["n"].to_numpy(), [np.frombuffer(x, np.uint64) for x in t["elements"].to_pylist()], side)
+        got = Block(t).links([np.frombuffer(x, np.uint64) for x in t["elements"].to_pylist()])
         return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
 
-    return nodes.groupBy("task").applyInArrow(run, "a long, b long")
+    rows = tasks.join(nodes.select("node", "n", "sketch"), "node").join(sets, "node")
+    return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_nodes: int = BLOCK_NODES) -> DataFrame:
@@ -376,21 +448,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts and those without words have no shingle and are linked with nothing. Rows that
     repeat an id or a text are rows of one component; null ids sort after all others.
     """
-    rows = checkpointed(members(docs, id_col, text_col))
     texts = docs.select(text_bytes(docs, text_col).alias("t"))
     _, size = total_bytes(docs, text_col)
-    shards_log = max(5, int(size * SIGNATURES_PER_BYTE / SHARD_SIGNATURES).bit_length())
-    flagged = checkpointed(flagged_rows(texts, repeated_signatures(texts, min(shards_log, BITMAP_LOG - 3))))
+    shards_log = min(max(5, int(size * SIGNATURES_PER_BYTE / SHARD_SIGNATURES).bit_length()), BITMAP_LOG - 3)
+    both = checkpointed(read_once(docs, id_col, text_col, shards_log))
+    rows = checkpointed(both.filter("shard is null").select("id", F.col("n").alias("n_shingles"), "node", "sketch"))
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    nodes = checkpointed(nodes)
+    bitmap = repeated_signatures(both.filter("shard is not null").select("shard", "once", "again"), shards_log)
+    del both
+    release(docs.sparkSession)
+    flagged = checkpointed(flagged_rows(texts, bitmap))
     pivots = flagged.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last")
     active = flagged.join(pivots, "sig").distinct()
     counts = active.groupBy("sig").agg(F.count("*").alias("nodes"))
     active = checkpointed(active.join(counts, "sig"))
-    sets = checkpointed(node_sets(texts, node_bitmap(active.select("node").distinct())))
-    links = checkpointed(star_links(active, sets))
-    more = checkpointed(residual_links(active, sets, components(links), block_nodes))
-    found = components(links.union(more))
-
-    firsts = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("first")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    del flagged, pivots, counts
+    release(docs.sparkSession)
+
+    edges = checkpointed(star_candidates(active, nodes))
+    sets = checkpointed(fetch_sets(docs, id_col, text_col, nodes, edges.select(F.col("a").alias("node")).union(edges.select("b"))))
+    links = checkpointed(verified(edges, sets))
+    del sets
+    release(docs.sparkSession)
+    tasks = residual_tasks(active, components(links, rounds=2), block_nodes)
+    wanted = checkpointed(residual_wanted(tasks, nodes))
+    more = links
+    if not wanted.isEmpty():
+        more = residual_links(tasks, nodes, fetch_sets(docs, id_col, text_col, nodes, wanted))
+    found = components(checkpointed(links.union(more)))
+
+    firsts = nodes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
     by_node = firsts.select("node", "component").join(ids, "component").select("node", "component_id")
     out = rows.join(by_node, "node", "left")

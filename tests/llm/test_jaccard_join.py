@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from scenewright.llm import jaccard_join as j
 
@@ -41,6 +42,15 @@ def corpus(n, seed):
     return out
 
 
+def test_sketches_never_rule_out_a_link():
+    r = np.random.default_rng(9)
+    for _ in range(500):
+        a = np.unique(r.integers(0, 2**64, int(r.integers(5, 3000)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[int(r.integers(0, a.size // 6 + 1)) :], r.integers(0, 2**64, int(r.integers(0, a.size // 6 + 1)), dtype=np.uint64)]))
+        x, y = (np.frombuffer(j.sketch(s), np.uint64) for s in (a, b))
+        assert not j.linked(a, b) or j.may_link(int(np.bitwise_count(x ^ y).sum()), a.size, b.size)
+
+
 def test_linked_sets_share_a_signature():
     r = np.random.default_rng(1)
     for _ in range(4000):
@@ -71,10 +81,11 @@ def test_blocks_find_links_that_pivots_miss():
         s = base[-1].copy()
         s[r.choice(s.size, 15, replace=False)] = r.integers(0, 2**64, 15, dtype=np.uint64)
         base.append(np.unique(s))
-    k = np.stack([np.frombuffer(j.sketch(s), np.uint64) for s in base])
-    n = np.array([s.size for s in base])
-    links = j.connect(list(range(7)), np.arange(7), k, n, base, np.full(7, 2))
-    assert len(links) == 6
+    sigs = [j.signatures(s).view(np.int64).tolist() for s in base]
+    rows = {"node": list(range(7)), "label": list(range(7)), "n": [s.size for s in base], "sketch": [j.sketch(s) for s in base], "block": [0] * 7, "own": [True] * 7, "sigs": sigs}
+    block = j.Block(pa.table(rows))
+    assert block.wanted().size == 7
+    assert len(block.links(base)) == 6
 
 
 def test_empty_and_repeated_rows(spark):
