@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from .common import GOLDEN, mix
 
-#: Lines in a window, and the characters that a window has at least.
+#: Lines in a window, and the characters that a window has at least where nothing else is asked for.
 WINDOW, MIN_CHARS = 3, 40
 #: White space around lines that doesn't count.
 SPACE = " \t\n\x0b\x0c\r"
@@ -44,8 +44,8 @@ def parts_of(text: str | None) -> list[str]:
     return text.split("\0")
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, version, place, hash of every window that is long enough.
+def windows(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
+    """id, version, place, hash of every window of ``min_chars`` characters at least.
 
     ``version`` is a hash of the text: rows that share an id but not a text keep apart.
     """
@@ -63,7 +63,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             doc = np.repeat(np.arange(counts.size), counts)
             place = np.arange(h.size) - np.repeat(np.cumsum(counts) - counts, counts)
             last = WINDOW - 1
-            at = np.flatnonzero((doc[last:] == doc[: h.size - last]) & (n[:-2] + n[1:-1] + n[2:] >= MIN_CHARS)) if h.size > last else np.zeros(0, np.int64)
+            at = np.flatnonzero((doc[last:] == doc[: h.size - last]) & (n[:-2] + n[1:-1] + n[2:] >= min_chars)) if h.size > last else np.zeros(0, np.int64)
             w = np.zeros(at.size, np.uint64)
             for k in range(WINDOW):
                 w = mix(w * GOLDEN + h[at + k])
@@ -75,9 +75,9 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return raw.mapInArrow(run, raw.drop("text").schema.add("place", "integer").add("hash", "long"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """id, version, later, first: places of windows that occur again, and of first ones that do."""
-    rows = windows(docs, id_col, text_col)
+    rows = windows(docs, id_col, text_col, min_chars)
     order = F.struct(F.col("id").isNull().alias("z"), "id", "version", "place")
     found = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1").select("hash", "first")
     rows = rows.join(found, "hash")
@@ -92,9 +92,9 @@ def covered(places: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + (WINDOW - 1)))))
 
 
-def cleaned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """row (the input's columns as a struct), clean, n_lines, removed_lines."""
-    hit = repeats(docs, id_col, text_col)
+    hit = repeats(docs, id_col, text_col, min_chars)
     hit = hit.select("id", "version", F.array_sort(F.array_except(covered(F.col("later")), covered(F.col("first")))).alias("gone"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("own_version"))
     rows = rows.join(hit, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_version") == F.col("version")), "left")
@@ -117,24 +117,25 @@ def cleaned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, StructType(list(rows.schema)).add("clean", "string").add("n_lines", "integer"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``id, text`` (cleaned), ``n_lines, removed_lines`` of every row.
 
     ``removed_lines`` are the sorted numbers, from 0, of the lines taken out. Null text
     stays null and has no lines; a text of fewer than three lines is never changed.
     Rows that repeat an id with the same text are one document and get the same result.
-    A null id sorts after all others. Other columns are ignored.
+    A null id sorts after all others. Other columns are ignored. Windows under ``min_chars``
+    characters don't count; with 0 every window does.
     """
-    return cleaned(docs, id_col, text_col).select(F.col(f"row.{id_col}").alias("id"), F.col("clean").alias("text"), "n_lines", "removed_lines")
+    return cleaned(docs, id_col, text_col, min_chars).select(F.col(f"row.{id_col}").alias("id"), F.col("clean").alias("text"), "n_lines", "removed_lines")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of ``docs`` with clean texts; those that lose every line go.
 
     ``length_col``, if given and there, is the number of characters and is made anew for
     texts that change. All other columns pass through.
     """
-    out = cleaned(docs, id_col, text_col)
+    out = cleaned(docs, id_col, text_col, min_chars)
     changed = F.size("removed_lines") > 0
     out = out.filter(~changed | (F.size("removed_lines") < F.col("n_lines")))
 
