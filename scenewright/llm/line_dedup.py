@@ -92,10 +92,13 @@ def covered(places: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + (WINDOW - 1)))))
 
 
-def cleaned(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, all_later: bool = False) -> DataFrame:
     """row (the input's columns as a struct), clean, n_lines, removed_lines."""
     hit = repeats(docs, id_col, text_col, min_chars)
-    hit = hit.select("id", "version", F.array_sort(F.array_except(covered(F.col("later")), covered(F.col("first")))).alias("gone"))
+    gone = covered(F.col("later"))
+    if not all_later:
+        gone = F.array_except(gone, covered(F.col("first")))
+    hit = hit.select("id", "version", F.array_sort(gone).alias("gone"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("own_version"))
     rows = rows.join(hit, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_version") == F.col("version")), "left")
     rows = rows.select("row", F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"))
@@ -117,7 +120,7 @@ def cleaned(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CH
     return rows.mapInArrow(run, StructType(list(rows.schema)).add("clean", "string").add("n_lines", "integer"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, all_later: bool = False) -> DataFrame:
     """``id, text`` (cleaned), ``n_lines, removed_lines`` of every row.
 
     ``removed_lines`` are the sorted numbers, from 0, of the lines taken out. Null text
@@ -125,17 +128,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat an id with the same text are one document and get the same result.
     A null id sorts after all others. Other columns are ignored. Windows under ``min_chars``
     characters don't count; with 0 every window does.
+    With ``all_later`` every line of a later occurrence goes, also one that lies in the first
+    occurrence of another window; the text of such a line still stands at an earlier place.
     """
-    return cleaned(docs, id_col, text_col, min_chars).select(F.col(f"row.{id_col}").alias("id"), F.col("clean").alias("text"), "n_lines", "removed_lines")
+    return cleaned(docs, id_col, text_col, min_chars, all_later).select(F.col(f"row.{id_col}").alias("id"), F.col("clean").alias("text"), "n_lines", "removed_lines")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, min_chars: int = MIN_CHARS, all_later: bool = False) -> DataFrame:
     """The rows of ``docs`` with clean texts; those that lose every line go.
 
     ``length_col``, if given and there, is the number of characters and is made anew for
     texts that change. All other columns pass through.
     """
-    out = cleaned(docs, id_col, text_col, min_chars)
+    out = cleaned(docs, id_col, text_col, min_chars, all_later)
     changed = F.size("removed_lines") > 0
     out = out.filter(~changed | (F.size("removed_lines") < F.col("n_lines")))
 

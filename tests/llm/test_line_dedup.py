@@ -15,3 +15,14 @@ def test_short_windows_count_without_a_floor(spark):
     docs = spark.createDataFrame([(0, short), (1, short), (2, "own\n" + short)], "doc_id long, text string")
     clean = line_dedup.without_repeats(docs, min_chars=0)
     assert {r["doc_id"]: r["text"] for r in clean.collect()} == {0: short, 2: "own\n"}
+
+
+def test_every_line_of_a_later_occurrence_goes(spark):
+    a, b, c, d, e = (f"Line {x} is long enough here" for x in "ABCDE")
+    texts = ["\n".join(x) for x in ([a, b, c], [d, a, b, c, e], [d, a, b, c, e])]
+    # Document 1 repeats a, b, c of document 0, and is the first to hold d, a, b and b, c, e.
+    assert removed(spark, *texts) == [[], [], [0, 1, 2, 3, 4]]
+    assert removed(spark, *texts, all_later=True) == [[], [1, 2, 3], [0, 1, 2, 3, 4]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs, all_later=True).collect()}
+    assert clean == {0: texts[0], 1: d + "\n" + e}
