@@ -3,8 +3,9 @@
 Fixed masks select some of the positions of a short token window and ignore the others,
 so that a changed token spoils few windows. The masked windows of the benchmark are
 hashed into a sorted table; every masked window of every document is looked up in it.
-Around each hit the texts are laid side by side and the best stretch of the alignment is
-verified: substitutions lower its score but don't end it.
+Around each hit the texts are laid side by side and the stretch with the most equal tokens
+among those with a sufficient share of them is taken. The masks leave no such stretch out:
+without a hit, 12 equal tokens come with more different ones than the share allows.
 
 The benchmark is taken in blocks of a bounded size. A block's table is broadcast and the
 documents are passed over once for each block, so any benchmark will do; no pairs are
@@ -25,13 +26,11 @@ from .common import WordHashes, text_bytes, total_bytes
 from .license_scan import words_of
 
 # The masks (1: the token counts), each of weight six.
-MASKS = ("111111", "11101011", "1101100101", "11001010011")
+MASKS = ("111111", "11101011", "1101100101", "11001010011", "11011011")
 #: A stretch counts with so many equal tokens, or all of a shorter item's tokens, ...
 MIN_EQUAL = 12
 #: ... and this share of equal tokens.
 MIN_SHARE = 0.8
-#: What a different token costs while a stretch is extended.
-MISMATCH = 2
 #: Text of the benchmark in a block, in bytes.
 BLOCK_BYTES = 16 << 20
 #: Entries of the filter that is asked before the table: a power of two.
@@ -61,11 +60,22 @@ def seeds(hashes: np.ndarray, mask: str, k: int) -> np.ndarray:
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """The stretch [a, b) of an alignment with the largest score."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
-    low = np.minimum.accumulate(total)
-    b = int(np.argmax(total - low))
-    return int(np.flatnonzero(total[: b + 1] == low[b])[-1]), b
+    """The stretch [a, b) with the most equal tokens whose share of them suffices.
+
+    Of several the shortest, then the first; empty where no token is equal.
+    """
+    count = np.concatenate([[0], np.cumsum(equal)])
+    total = count * 100 - np.arange(count.size) * round(100 * MIN_SHARE)
+    # For each end the earliest start from which the total does not fall.
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)
+    n = count - count[start]
+    if not n.any():
+        return 0, 0
+    ends = np.flatnonzero(n == n.max())
+    # The words at either edge that are not equal are no part of a stretch.
+    a, b = np.searchsorted(count, count[start[ends]], "right") - 1, np.searchsorted(count, count[ends])
+    k = int(np.argmin(b - a))
+    return int(a[k]), int(b[k])
 
 
 class Table:
@@ -107,7 +117,7 @@ class Table:
         equal = tokens[lo + diagonal : hi + diagonal] == t[lo:hi]
         a, b = best_stretch(equal)
         n = int(np.count_nonzero(equal[a:b]))
-        if b > a and n >= min(MIN_EQUAL, t.size) and n >= MIN_SHARE * (b - a):
+        if b > a and n >= min(MIN_EQUAL, t.size):
             return lo + diagonal + a, lo + diagonal + b, n
         return None
 

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -68,3 +69,57 @@ def test_blocks_and_rows(spark):
     assert d.overlaps(odd, bench).count() == 0 and d.decontaminate(odd, bench).count() == 3
     assert d.overlaps(docs.filter("false"), bench).count() == 0
     assert d.overlaps(docs, bench.filter("false")).count() == 0
+
+
+def stretches(equal):
+    """(equal words, first, end) of all stretches with 80 % equal words."""
+    e = [bool(x) for x in equal]
+    return [(sum(e[a:b]), a, b) for a in range(len(e)) for b in range(a + 1, len(e) + 1) if 5 * sum(e[a:b]) >= 4 * (b - a)]
+
+
+def test_the_stretch_with_most_equal_words_decides():
+    r = random.Random(5)
+    for _ in range(400):
+        equal = np.array([r.random() < r.choice((0.5, 0.8, 0.9)) for _ in range(r.randint(0, 40))], bool)
+        a, b = d.best_stretch(equal)
+        most = max((n for n, _, _ in stretches(equal)), default=0)
+        assert int(equal[a:b].sum()) == most and 5 * most >= 4 * (b - a)
+        assert b - a == min((y - x for n, x, y in stretches(equal) if n == most and n), default=0)
+
+
+def test_every_copy_that_meets_the_rule_is_found():
+    item = [f"w{i}" for i in range(59)]
+    memo = WordHashes()
+    around = [f"o{i}" for i in range(20)]
+
+    def found(size, changed):
+        table = d.Table([(1, " ".join(item[:size]))])
+        text = around + ["x" if i in changed else w for i, w in enumerate(item[:size])] + around
+        return list(table.overlaps(memo.of([w.encode() for w in text])))
+
+    # Words 12 and 13 of 16, words 3 and 13 of 15.
+    assert found(16, {11, 12}) == [(1, 20, 36, 14, 16)]
+    assert found(15, {2, 12}) == [(1, 20, 35, 13, 15)]
+    for changed in combinations(range(15), 3):
+        assert [o[3] for o in found(15, changed)] == [12], changed
+    r = random.Random(6)
+    for _ in range(600):
+        size = r.randint(16, 59)
+        changed = r.sample(range(size), size // 5)
+        assert [o[3] >= size - len(changed) for o in found(size, changed)] == [True], changed
+
+
+def test_masks_leave_no_stretch_out():
+    """The most equal words of alignments of up to 60 words that no mask hits, by their last ten words."""
+    masks = [(len(m), int(m, 2)) for m in d.MASKS]
+    most = {(0, 0): 0}
+    for size in range(1, 61):
+        after = {}
+        for (bits, known), n in most.items():
+            for bit in (0, 1):
+                now, length = bits << 1 | bit, known + 1
+                if not any(length >= k and now & m == m for k, m in masks):
+                    state = now & 1023, min(10, length)
+                    after[state] = max(after.get(state, 0), n + bit)
+        most = after
+        assert not max(most.values()) >= max(d.MIN_EQUAL, d.MIN_SHARE * size)
