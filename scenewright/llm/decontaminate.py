@@ -27,10 +27,14 @@ from .license_scan import words_of
 
 # The masks (1: the token counts), each of weight six.
 MASKS = ("111111", "11101011", "1101100101", "11001010011", "11011011")
-#: A stretch counts with so many equal tokens, or all of a shorter item's tokens, ...
+#: Masks for items too short for these, by number of tokens: 1, 2, and from 3 on.
+SHORT_MASKS = ("1", "11", "111")
+#: A stretch counts with so many equal tokens, or MIN_SHARE of a shorter item's tokens, ...
 MIN_EQUAL = 12
 #: ... and this share of equal tokens.
 MIN_SHARE = 0.8
+#: Items with fewer tokens than this count when they stand in a text as they are.
+MIN_INEXACT = 6
 #: Text of the benchmark in a block, in bytes.
 BLOCK_BYTES = 16 << 20
 #: Entries of the filter that is asked before the table: a power of two.
@@ -46,6 +50,25 @@ def tokens_of(text: bytes | str | None) -> list[bytes]:
     return words_of(text.lower().encode() if isinstance(text, str) else text)
 
 
+def needed(size: int) -> int:
+    """Equal tokens that an item of so many tokens needs."""
+    return size if size < MIN_INEXACT else min(MIN_EQUAL, -(-size * round(100 * MIN_SHARE) // 100))
+
+
+def masks_of(size: int) -> list[tuple[int, str]]:
+    """Numbers and masks that find an item of so many tokens.
+
+    A shorter item needs fewer than MIN_EQUAL equal tokens, which may leave no more than
+    three in a row.
+    """
+    if not size:
+        return []
+    if needed(size) < MIN_EQUAL:
+        k = min(size, len(SHORT_MASKS)) - 1
+        return [(len(MASKS) + k, SHORT_MASKS[k])]
+    return list(enumerate(MASKS))
+
+
 def seeds(hashes: np.ndarray, mask: str, k: int) -> np.ndarray:
     """Hashes of all windows of ``hashes`` under mask number k."""
     n = hashes.size - len(mask) + 1
@@ -87,11 +110,12 @@ class Table:
         self.tokens = [memo.of(tokens_of(r[1])) for r in rows]
         keys, item, place = [], [], []
         for n, t in enumerate(self.tokens):
-            for k, mask in enumerate(MASKS):
+            for k, mask in masks_of(t.size):
                 s = seeds(t, mask, k)
                 keys.append(s)
                 item.append(np.full(s.size, n, np.int32))
                 place.append(np.arange(s.size, dtype=np.int32))
+        self.masks = sorted({m for t in self.tokens for m in masks_of(t.size)})
         keys, item, place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (item, np.int32), (place, np.int32)))
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.place = keys[order], item[order], place[order]
@@ -101,7 +125,7 @@ class Table:
     def hits(self, tokens: np.ndarray) -> set[tuple[int, int]]:
         """(item, diagonal) of all seeds that a text shares with the block."""
         found = set()
-        for k, mask in enumerate(MASKS):
+        for k, mask in self.masks:
             s = seeds(tokens, mask, k)
             at = np.flatnonzero(self.filter[(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             if at.size:
@@ -117,7 +141,7 @@ class Table:
         equal = tokens[lo + diagonal : hi + diagonal] == t[lo:hi]
         a, b = best_stretch(equal)
         n = int(np.count_nonzero(equal[a:b]))
-        if b > a and n >= min(MIN_EQUAL, t.size):
+        if b > a and n >= needed(t.size):
             return lo + diagonal + a, lo + diagonal + b, n
         return None
 
@@ -125,6 +149,8 @@ class Table:
         """(item id, first word, end, equal words, words of the item), the best of each item."""
         best: dict[int, tuple] = {}
         for item, diagonal in sorted(self.hits(tokens)):
+            if item in best and best[item][2] == self.tokens[item].size:
+                continue  # no other diagonal has more
             got = self.verify(tokens, item, diagonal)
             if got and (item not in best or got[2] > best[item][2]):
                 best[item] = got
@@ -149,8 +175,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     Words are stretches of digits, letters and non-ASCII characters, without regard to
     case. Of several stretches of one item that with the most equal words, then on
-    the smallest diagonal, is given. Null or empty texts, and items of fewer than six
-    words, match nothing. Repeated rows give repeated results; other columns are ignored.
+    the smallest diagonal, is given. Null or empty texts match nothing; items of fewer than
+    six words match where they stand word by word. Repeated rows give repeated results; other columns are ignored.
     """
     schema = docs.select(F.col(id_col).alias("id")).schema.add("item_id", benchmark.schema[item_col].dataType)
     for name in ("first_word", "end_word", "n_equal", "n_item"):

@@ -123,3 +123,26 @@ def test_masks_leave_no_stretch_out():
                     after[state] = max(after.get(state, 0), n + bit)
         most = after
         assert not max(most.values()) >= max(d.MIN_EQUAL, d.MIN_SHARE * size)
+
+
+def test_short_items():
+    memo = WordHashes()
+    around = [f"o{i}" for i in range(9)]
+
+    def found(words, text):
+        table = d.Table([(1, " ".join(words)), (2, None), (3, "")])
+        return list(table.overlaps(memo.of([w.encode() for w in text])))
+
+    for size in range(1, 6):
+        item = [f"w{i}" for i in range(size)]
+        assert found(item, around + item + around + item) == [(1, 9, 9 + size, size, size)]
+        assert not found(item, around + item[:-1] + around + item[1:])
+        assert not found(item, [])
+    for size in range(6, 15):
+        item, allowed = [f"w{i}" for i in range(size)], size // 5
+        for n in (0, allowed, allowed + 1):
+            for changed in combinations(range(size), n):
+                got = found(item, around + ["x" if i in changed else w for i, w in enumerate(item)] + around)
+                assert bool(got) == (n <= allowed), (size, changed)
+                assert not got or got[0][3] == size - n
+    assert found(["the"], ["the"] * 500) == [(1, 0, 1, 1, 1)]
