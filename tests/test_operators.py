@@ -3,9 +3,11 @@ import random
 from pyspark.sql import functions as F
 
 from scenewright.functions import lexicons as lx
+from scenewright.functions.similarity import best_window_ratio
 from scenewright.operators import characters as ch
 from scenewright.operators import dataprep as dp
 from scenewright.operators import gates, metrics, relational, scenes, slang
+from scenewright.plans import catalogue
 
 
 def test_scene_chunks(spark):
@@ -134,3 +136,10 @@ def test_carry_over(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "i int, v string")
     got = relational.carry_over(old, old.withColumn("v", F.lit("new")), old.filter("i = 2"), ["i"])
     assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "new")]
+
+
+def test_fuzzy_query_compares_whole_texts(spark, tmp_path):
+    texts = ["the same start, then apples", "the same start, but pears and plums"]
+    spark.createDataFrame(list(enumerate(texts, 1)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalogue.q43_fuzzy(spark, str(tmp_path)).collect()
+    assert [(r["item_id"], r["partial"]) for r in got] == [(1, round(best_window_ratio(*texts), 4))] and got[0]["partial"] < 100
