@@ -9,8 +9,8 @@ takes an arc or fails to a shorter history, and log-probabilities add up.
 The automaton grows with the corpus, so no task holds it. Documents are dealt to blocks of
 a bounded size. Each block sends its distinct n-grams with its training counts, sorted and
 packed by hash range, to shards; a shard adds the counts up and answers every block in the
-block's own order. With the answers a block compiles the part of the automaton that its
-texts can reach, and walks it. Everything that is shipped is fixed-width and packed: one
+block's own order. The answers are the part of the automaton that the block's texts can
+reach; states and arcs are looked up in them, for all tokens at once, not built. Everything that is shipped is fixed-width and packed: one
 row per block and shard, whatever the number of tokens, and a frequent n-gram is one entry
 per block.
 
