@@ -104,6 +104,77 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def byte_table(separators: bytes) -> np.ndarray:
+    """A random 64-bit number for each byte that may stand in a word, A-Z as a-z; 0 for separators."""
+    out = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN) | np.uint64(1)
+    out[65:91] = out[97:123]
+    out[np.frombuffer(separators, np.uint8)] = 0
+    return out
+
+
+#: Words cut at ASCII white space.
+SPACED = byte_table(b" \t\n\x0b\x0c\r")
+#: Bytes that are hashed at once: bounds a task's memory for a text of any length.
+PIECE_BYTES = 4 << 20
+
+
+def word_hashes(texts: list[bytes | None], table: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, end to end, and how many words each text has.
+
+    A word's hash is the sum, over its bytes, of the byte's number times one for its place.
+    No word is ever a Python object: the cost is a few array operations for each byte.
+    """
+    out, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    group: list[int] = []
+    size = 0
+    for k, t in enumerate(texts):
+        if not t:
+            continue
+        if len(t) > PIECE_BYTES:
+            flush(texts, group, table, out, counts)
+            group, size = [], 0
+            first = 0
+            while first < len(t):
+                end = min(first + PIECE_BYTES, len(t))
+                while end < len(t) and table[t[end]]:
+                    end += 1
+                h, n = few_hashes([t[first:end]], table)
+                out.append(h)
+                counts[k] += n[0]
+                first = end
+            continue
+        group.append(k)
+        size += len(t)
+        if size >= PIECE_BYTES:
+            flush(texts, group, table, out, counts)
+            group, size = [], 0
+    flush(texts, group, table, out, counts)
+    return np.concatenate(out), counts
+
+
+def flush(texts: list[bytes | None], group: list[int], table: np.ndarray, out: list[np.ndarray], counts: np.ndarray) -> None:
+    if group:
+        h, counts[group] = few_hashes([texts[k] for k in group], table)
+        out.append(h)
+
+
+def few_hashes(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    buffer = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    value = table[buffer]
+    inside = value != 0
+    starts = np.flatnonzero(inside[1:] > inside[:-1]) + 1
+    if buffer.size and inside[0]:
+        starts = np.concatenate([[0], starts])
+    edges = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(starts, edges), prepend=0)
+    if not starts.size:
+        return np.zeros(0, np.uint64), counts
+    lengths = np.diff(starts, append=buffer.size)
+    place = np.arange(starts[0], buffer.size) - np.repeat(starts, lengths)
+    weight = mix(np.arange(1, int(lengths.max()) + 1, dtype=np.uint64) * MIX_A) | np.uint64(1)
+    return mix(np.add.reduceat(value[starts[0] :] * weight[place], starts - starts[0])), counts
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of plans, shuffle files, broadcasts and checkpoints that nothing refers to any more.
 
