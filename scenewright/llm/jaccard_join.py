@@ -621,25 +621,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     release(spark)
     links, path = written(verified(*with_sets(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), docs, id_col, text_col, nodes, seed)))
     paths = [rows_path, nodes_path, live_path, stars_path, path]
-    for k in range(2):
-        labels = components(links)
-        if k == 0:
-            first = stars.groupBy("b").agg(F.min("a").alias("a0"))
-            more = unconnected(stars.join(first, "b").filter("a <> a0").select("a", "b"), labels)
-        else:
-            more = residual_candidates(live, labels, nodes, block_nodes)
-        more, path = written(more)
+    labels = components(links)
+    first = stars.groupBy("b").agg(F.min("a").alias("a0"))
+    others = stars.join(first, "b").filter("a <> a0").select("a", "b")
+    for candidates in (lambda: unconnected(others, labels), lambda: residual_candidates(live, labels, nodes, block_nodes)):
+        more, path = written(candidates())
         release(spark)
         paths.append(path)
-        if more.isEmpty():
-            continue
-        new, path = written(verified(*with_sets(more, docs, id_col, text_col, nodes, seed)))
-        paths.append(path)
-        release(spark)
-        links = links.union(new)
-    found = components(links)
+        if not more.isEmpty():
+            new, path = written(verified(*with_sets(more, docs, id_col, text_col, nodes, seed)))
+            paths.append(path)
+            links = links.union(new)
+            labels = components(links)
 
-    firsts = nodes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = nodes.select("node", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
     by_node = firsts.select("node", "component").join(ids, "component").select("node", "component_id")
     out = rows.select("id", "n_shingles", "node").join(by_node, "node", "left")
