@@ -55,7 +55,7 @@ SEEDS = 4
 #: Bits of the bitmap of wanted documents, at most (32 MB).
 BITMAP_LOG = 28
 #: Signatures a task gathers before it sends them off, those of one shard, and rows of one shard.
-CHUNK_SIGNATURES, SHARD_SIGNATURES, SHARD_ROWS = 2_000_000, 4_000_000, 200_000
+CHUNK_SIGNATURES, SHARD_SIGNATURES, SHARD_ROWS = 1_000_000, 1_000_000, 100_000
 #: Signatures in a byte of text, roughly: decides the number of shards only.
 SIGNATURES_PER_BYTE = 0.08
 #: Shards (as a power of two) that a chunk is cut into at once; more are made in several steps.
@@ -65,7 +65,7 @@ BLOCK_NODES = 2048
 #: Bytes of the smallest parity sketch.
 SKETCH_BYTES = 128
 #: Text that is turned into sets at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def combine(h: np.ndarray, size: int, m: int) -> np.ndarray:
@@ -437,26 +437,20 @@ def fetch_sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, wa
     remove(spark, path)
 
     def run(batches):
-        few = np.frombuffer(one.value, np.uint8)
+        few, fewer = np.frombuffer(one.value, np.uint8), np.frombuffer(two.value, np.uint8)
         for batch in batches:
-            batch = batch.filter(pa.array(bits_of(few, log, batch.column(1).to_numpy().view(np.uint64))))
-            texts = batch.column(2).to_pylist()
+            batch = batch.filter(pa.array(bits_of(few, log, batch.column(0).to_numpy().view(np.uint64))))
+            ids, texts = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 sets = Sets(texts[a:b])
-                full = np.flatnonzero(sets.n)
-                name = sets.names(seed)[0][full]
-                elements = pa.array([sets.of(k).tobytes() for k in full.tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(full)), pa.array(name), elements], ["id", "node", "elements"])
-
-    def sieve(batches):
-        few = np.frombuffer(two.value, np.uint8)
-        for batch in batches:
-            batch = batch.filter(pa.array(bits_of(few, log, batch.column(0).to_numpy().view(np.uint64))))
-            yield batch.select(["node", "elements"])
-
-    raw = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), text_bytes(docs, text_col).alias("t"))
-    rows = raw.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, node long, elements binary")
-    rows = rows.select(F.xxhash64("id", "node").alias("g"), "node", "elements").mapInArrow(sieve, "node long, elements binary")
+                name = sets.names(seed)[0]
+                # As Spark hashes a second column: by the hash of the first.
+                g = [xxhash.xxh64_intdigest(x, int(h)) for x, h in zip(name.view("V8").tolist(), ids[a:b])]
+                take = np.flatnonzero((sets.n > 0) & bits_of(fewer, log, np.array(g, np.uint64)))
+                elements = pa.array([sets.of(k).tobytes() for k in take.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(name[take]), elements], ["node", "elements"])
+
+    rows = docs.select(F.xxhash64(id_col).alias("h"), text_bytes(docs, text_col).alias("t")).mapInArrow(run, "node long, elements binary")
     return rows.groupBy("node").agg(F.first("elements").alias("elements"))
 
 

@@ -1,21 +1,21 @@
 """Language-model scores by a weighted backoff automaton that never stands in one place.
 
-The model: smoothed n-grams. A state is a history that was seen in training; an arc
-carries the interpolated probability of a word that was seen after it; a failure arc
-leads to the history without its first word and carries what is left. A text is read once
-from left to right: the state says how much of the history the model knows, each word
-takes an arc or fails to a shorter history, and log-probabilities add up.
-
-The automaton grows with the corpus, so no task holds it. Documents are dealt to blocks of
-a bounded size. Each block sends its distinct n-grams with its training counts, sorted and
-packed by hash range, to shards; a shard adds the counts up and answers every block in the
-block's own order. The answers are the part of the automaton that the block's texts can
-reach; states and arcs are looked up in them, for all tokens at once, not built. Everything that is shipped is fixed-width and packed: one
-row per block and shard, whatever the number of tokens, and a frequent n-gram is one entry
-per block.
-
-Words are told apart by 64-bit hashes, longer n-grams by hashes with SPARE_BITS bits more
-than it takes to number the corpus's n-grams.
+The model: interpolated n-grams, three words at most. A state is a history that was seen
+in training; an arc carries the interpolated probability of a word that was seen after it
+and leads to the longest history that is then known; a failure arc leads to the history
+without its first word and carries what is left. A text is read once from left to right:
+the state is carried from word to word, each word takes an arc or fails to a shorter
+history, and log-probabilities add up.
+
+The automaton grows with the corpus, so no task holds it. The texts are turned into blocks
+of a bounded size, whose words are numbered within the block, and written. Each block asks
+shards (by hash range) for the training counts of its distinct n-grams, in packed sorted
+arrays; a shard adds up what blocks counted and answers each in its own order. From the
+answers a block compiles the states and arcs that its texts can reach, and walks them.
+A frequent n-gram is one entry per block. With more shards than a block fills packs for,
+blocks ask in groups, and groups ask finer shards: see ``ask``.
+
+Words and longer n-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,22 +24,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, checkpointed, lower_words, mix, text_bytes, total_bytes
+from .common import GOLDEN, mix, release, remove, text_bytes, total_bytes, word_hashes, written
 
 #: Words in the longest n-gram.
-ORDER = 2
+ORDER = 3
 #: Text in a block, and n-grams in a shard, roughly; n-grams in a byte of text.
-BLOCK_BYTES, SHARD_NGRAMS, NGRAMS_PER_BYTE = 4 << 20, 4_000_000, 0.12
-#: Bits of an n-gram's hash beyond those that number all n-grams.
-SPARE_BITS = 20
-# The share of a history's own estimate is SHARE + SLOPE * log2(its count),
-# MOST at most.
-SHARE, SLOPE, MOST = 0.3, 0.035, 0.7
+BLOCK_BYTES, SHARD_NGRAMS, NGRAMS_PER_BYTE = 4 << 20, 4_000_000, 0.25
+#: Shards (as a power of two) that a block asks directly, and blocks (likewise) that ask together beyond that.
+STEP_LOG = 9
+# What a history's own estimate weighs. For histories of one word, and of two or more: if it was
+# seen once, and (start, slope) if more often: start + slope * log2(its count), MOST at most.
+ONCE, MORE, MOST = (0.1, 0.5), ((0.2, 0.03), (0.35, 0.04)), 0.8
 #: Hashes of the text's end, which is a token, and of its start, which isn't.
-END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+END, START = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
@@ -47,195 +48,330 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def pack_keys(x: np.ndarray, bits: int) -> bytes:
-    """Sorted hashes as differences of their first ``bits`` bits, byte planes apart, compressed."""
-    d = np.diff(x >> np.uint64(64 - bits), prepend=np.uint64(0))
-    planes = np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(d).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+def squeeze(x: np.ndarray) -> bytes:
+    """Unsigned numbers as byte planes, as many as the largest needs, compressed."""
+    size = next(k for k in range(1, 9) if k == 8 or int(x.max(initial=0)) < 1 << (8 * k))
+    planes = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+    return bytes([size]) + len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def unpack_keys(b: bytes, bits: int) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64) << np.uint64(64 - bits)
+def expand(b: bytes) -> np.ndarray:
+    size, n = b[0], int.from_bytes(b[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(pa.decompress(b[9:], decompressed_size=size * n, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T
+    return out.view(np.uint64).ravel()
 
 
-def pack_counts(x: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest takes, compressed."""
-    size = next(k for k in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << (8 * k))
-    return bytes([size]) + len(x).to_bytes(8, "little") + pa.compress(x.astype(f"u{size}").tobytes(), codec="zstd", asbytes=True)
+def pack_keys(x: np.ndarray) -> bytes:
+    """Sorted hashes as differences."""
+    return squeeze(np.diff(x, prepend=np.uint64(0)))
 
 
-def unpack_counts(b: bytes) -> np.ndarray:
-    size, n = b[0], int.from_bytes(b[1:9], "little")
-    return np.frombuffer(pa.decompress(b[9:], decompressed_size=size * n, codec="zstd", asbytes=True), f"u{size}").astype(np.int64)
+def unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(expand(b), dtype=np.uint64)
+
+
+def blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column, block_bytes: int) -> DataFrame:
+    """block, ids, held_out, sizes, words, tokens: the texts' words, numbered by how frequent they are in the block."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    raw = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), text_bytes(docs, text_col).alias("t"))
+    names = ["block", "ids", "held_out", "sizes", "words", "tokens"]
+
+    def row(number: int, ids: list[pa.Array], out: list[pa.Array], hashes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        words, local, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(order.size, np.int64)
+        rank[order] = np.arange(order.size)
+        own, held = pa.concat_arrays(ids), pa.concat_arrays(out)
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        block = TaskContext.get().partitionId() << 32 | number
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block]), one(own), one(held), one(pa.array(np.concatenate(sizes), pa.int64())), pa.array([words[order].tobytes()]), pa.array([squeeze(rank[local])])], names
+        )
+
+    def run(batches):
+        number, size, held = 0, 0, ([], [], [], [])
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            first, mine = 0, 0
+            for k, t in enumerate(texts):
+                mine += len(t)
+                if size + mine >= block_bytes or k == len(texts) - 1:
+                    h, n = word_hashes(texts[first : k + 1])
+                    for x, y in zip(held, (batch.column(0).slice(first, k + 1 - first), batch.column(1).slice(first, k + 1 - first), h, n)):
+                        x.append(y)
+                    size, first, mine = size + mine, k + 1, 0
+                    if size >= block_bytes:
+                        yield row(number, *held)
+                        number, size, held = number + 1, 0, ([], [], [], [])
+        if held[0]:
+            yield row(number, *held)
+
+    return raw.mapInArrow(run, f"block long, ids array<{id_type}>, held_out array<boolean>, sizes array<long>, words binary, tokens binary")
 
 
 class Grams:
-    """All n-grams of a block's texts, laid end to end.
+    """The n-grams of a block: ``of[k]`` numbers the (k + 1)-gram that ends at each place.
 
-    ``grams[k]`` has the key of the (k + 1)-gram that ends at each token; ``histories[k]``
-    that of the k + 1 tokens before it; ``starts[k]`` those of the marks before a text.
+    A place is a text's word, its end, or the mark before its first word. ``words[k]`` is
+    the last word and ``histories[k]`` the number of all words but the last of each
+    distinct (k + 1)-gram, ``keys[k]`` its hash, ``real`` tells places that are tokens.
     """
 
-    def __init__(self, texts: list[bytes | None], memo: WordHashes, order: int, bits: int):
-        pad, pieces, sizes = np.full(order - 1, START), [], []
-        for t in texts:
-            h = memo.of(lower_words(t))
-            pieces += [pad, h, [END]]
-            sizes.append(h.size + 1)
-        tokens = np.concatenate(pieces).astype(np.uint64) if pieces else np.zeros(0, np.uint64)
-        self.sizes = np.array(sizes, np.int64)
-        real = np.ones(tokens.size, bool)
-        starts = np.cumsum(self.sizes + order - 1) - (self.sizes + order - 1)
-        for k in range(order - 1):
-            real[starts + k] = False
-        grams, cut = [mix(tokens)], np.uint64(64 - bits)
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int):
+        v = words.size
+        end, start = v, v + 1
+        self.width, self.start = v + 2, start
+        starts = np.cumsum(sizes + 2) - (sizes + 2)
+        x = np.empty(int(sizes.sum()) + 2 * sizes.size, np.int64)
+        self.real = np.ones(x.size, bool)
+        self.real[starts] = False
+        self.first, self.sizes = starts, sizes + 1
+        x[starts], x[starts + sizes + 1] = start, end
+        inner = self.real.copy()
+        inner[starts + sizes + 1] = False
+        x[inner] = tokens
+        hashes = np.concatenate([words, np.array([END, START], np.uint64)])
+        self.token = x
+        self.of, self.words, self.histories, self.keys = [x], [np.arange(self.width)], [np.zeros(self.width, np.int64)], [mix(hashes)]
         for _ in range(order - 1):
-            g = grams[-1]
-            grams.append((mix((np.concatenate([[START], g[:-1]]) * GOLDEN) ^ tokens) if g.size else g) >> cut << cut)
-        self.grams = [x[real] for x in grams]
-        at = np.flatnonzero(real)
-        self.histories = [x[at - 1] for x in grams[:-1]]
-        self.starts = [x[~real] for x in grams[:-1]] + [np.zeros(0, np.uint64)]
-
-    def keys(self) -> list[np.ndarray]:
-        """The distinct keys of each length."""
-        return [np.unique(np.concatenate([g, s])) for g, s in zip(self.grams, self.starts)]
-
-    def counts(self, keys: list[np.ndarray], train: np.ndarray) -> list[np.ndarray]:
-        """How often each key stands in the texts with ``train`` set."""
-        mask, out = np.repeat(train, self.sizes), []
-        for k, g, s in zip(keys, self.grams, self.starts):
-            n = np.bincount(np.searchsorted(k, g[mask]), minlength=k.size)
-            own = s.reshape(len(train), -1)[train].ravel() if s.size else s
-            out.append(n + np.bincount(np.searchsorted(k, own), minlength=k.size))
+            before = np.concatenate([[0], self.of[-1][:-1]])
+            mark = np.flatnonzero(self.words[-1] == start)  # the n-gram of marks alone precedes a first word's mark
+            if mark.size:
+                before[starts] = mark[0]
+            codes, number = np.unique(before * self.width + x, return_inverse=True)
+            history, last = codes // self.width, codes % self.width
+            self.of.append(number)
+            self.words.append(last)
+            self.histories.append(history)
+            self.keys.append(mix((self.keys[-1][history] * GOLDEN) ^ hashes[last]))
+
+    def counts(self, train: np.ndarray) -> list[np.ndarray]:
+        """How often each n-gram stands in the texts with ``train`` set."""
+        places = np.repeat(train, self.sizes + 1)
+        return [np.bincount(number[places], minlength=k.size) for number, k in zip(self.of, self.keys)]
+
+
+def share(count: np.ndarray, length: int) -> np.ndarray:
+    """What the own estimate of histories of ``length`` words weighs."""
+    kind = min(length, len(ONCE)) - 1
+    start, slope = MORE[kind]
+    return np.where(count <= 1, ONCE[kind], np.minimum(MOST, start + slope * np.log2(np.maximum(count, 1))))
+
+
+class Automaton:
+    """States, arcs and failure arcs that a block's texts can reach.
+
+    ``totals`` are the training counts of the block's n-grams, for each length; ``n`` and
+    ``v`` all training tokens and distinct ones. State 0 is the root, the empty history.
+    """
+
+    def __init__(self, grams: Grams, totals: list[np.ndarray], n: int, v: int):
+        self.width = grams.width
+        known = [t > 0 for t in totals]
+        histories = totals[:-1]  # an n-gram of the greatest length is no state
+        offset = np.cumsum([1] + [t.size for t in histories])
+        state = [np.where(k, o + np.arange(k.size), 0) for k, o in zip(known[:-1], offset)]
+        self.failure, self.failure_weight = [0], [0.0]
+        weight = np.log10((totals[0] + 1) / (n + v + 1))  # of the arcs from the root; unseen words have one, too
+        arcs, weights, targets = [np.arange(self.width)], [weight], [state[0] if state else np.zeros(self.width, np.int64)]
+        for k, count in enumerate(histories):
+            own = share(count, k + 1)
+            shorter = self._suffix(grams, k)
+            self.failure += (state[k - 1][shorter] if k else np.zeros(count.size, np.int64)).tolist()
+            rest = np.log10(1 - own)
+            self.failure_weight += rest.tolist()
+            history, last = grams.histories[k + 1], grams.words[k + 1]
+            # What the shorter history gives the word: the weight of the path that fails once.
+            below = weight[self._suffix(grams, k + 1)]
+            seen = count[history]
+            arc = own[history] * totals[k + 1] / np.maximum(seen, 1) + (1 - own[history]) * 10**below
+            weight = np.where(seen > 0, np.log10(arc), below)
+            hit = known[k + 1]
+            arcs.append(state[k][history[hit]] * self.width + last[hit])
+            weights.append(weight[hit])
+            longest = state[k + 1] if k + 1 < len(histories) else state[k][self._suffix(grams, k + 1)]
+            targets.append(longest[hit])
+        keys = np.concatenate(arcs)
+        self.arcs = dict(zip(keys.tolist(), range(keys.size)))
+        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
+        begin = [s[w == grams.start] for s, w in zip(state, grams.words)]
+        self.initial = next((int(s[0]) for s in reversed(begin) if s.size and s[0]), 0)
+
+    @staticmethod
+    def _suffix(grams: Grams, k: int) -> np.ndarray:
+        """The number of each distinct (k + 1)-gram without its first word."""
+        out = np.zeros(grams.keys[k].size, np.int64)
+        if k:
+            out[grams.of[k]] = grams.of[k - 1]
         return out
 
+    def walk(self, words: list[int]) -> float:
+        """The log10 probability of a text, read from left to right."""
+        state, total, get = self.initial, 0.0, self.arcs.get
+        width, failure, failure_weight, weight, target = self.width, self.failure, self.failure_weight, self.weight, self.target
+        for w in words:
+            arc = get(state * width + w)
+            while arc is None:  # the root has an arc for every word
+                total += failure_weight[state]
+                state = failure[state]
+                arc = get(state * width + w)
+            total += weight[arc]
+            state = target[arc]
+        return total
 
-def share(count: np.ndarray) -> np.ndarray:
-    return np.minimum(MOST, SHARE + SLOPE * np.log2(np.maximum(count, 1)))
 
+ASK_SQL = "block long, shard long, length int, keys binary, counts binary"
+ANSWER_SQL = "block long, shard long, length int, totals binary, n long, v long"
 
-class Automaton:
-    """The part of the automaton that a block's texts can reach.
 
-    ``totals`` are the training counts of ``keys``, for each length; ``n`` and ``v`` all
-    training tokens and distinct ones.
-    """
+def packs(block: int, length: int, keys: np.ndarray, counts: np.ndarray, log: int) -> list[tuple]:
+    """Rows of ASK_SQL of sorted keys, a row for each shard that has some."""
+    shard = keys >> np.uint64(64 - log)
+    cut = np.concatenate([np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))[: keys.size], [keys.size]]).tolist()
+    return [(block, int(shard[a]), length, pack_keys(keys[a:b]), squeeze(counts[a:b])) for a, b in zip(cut, cut[1:])]
 
-    def __init__(self, keys: list[np.ndarray], totals: list[np.ndarray], n: int, v: int):
-        self.keys, self.totals, self.n, self.v = keys, [t.astype(np.float64) for t in totals], n, v
 
-    def count(self, length: int, keys: np.ndarray) -> np.ndarray:
-        """Training counts of n-grams of a length."""
-        return self.totals[length - 1][np.searchsorted(self.keys[length - 1], keys)]
+def asked(rows: list[tuple]) -> pa.Table:
+    kinds = {"block": pa.int64(), "shard": pa.int64(), "length": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+    return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds.items())})
 
-    def walk(self, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: tokens, known tokens, base score and the log10 probability of the path.
 
-        The state before a token is the longest of its histories that was seen; all texts
-        walk abreast, since what is seen of a history doesn't depend on the path to it.
-        """
-        word = self.count(1, grams.grams[0])
-        root = np.log10((word + 1) / (self.n + self.v + 1))
-        weight = root.copy()  # of the path from the root state on
-        for length, (history, gram) in enumerate(zip(grams.histories, grams.grams[1:]), 1):
-            seen = self.count(length, history)  # 0: no such state, the walk is at a shorter history
-            own = share(seen)
-            arc = np.log10(own * self.count(length + 1, gram) / np.maximum(seen, 1) + (1 - own) * 10**weight)
-            weight = np.where(seen > 0, arc, weight)  # without the word's arc this is the failure arc's weight plus the rest
-        edges = np.concatenate([[0], np.cumsum(grams.sizes)])
-        add = lambda x: np.add.reduceat(x, edges[:-1]) if len(grams.sizes) else np.zeros(0)
-        base = add(np.log10(word + 1)) - grams.sizes * math.log10(self.n + self.v + 1)
-        return grams.sizes, add((word > 0).astype(np.int64)), base, add(weight)
+def answered(blocks_: list, shards: list, lengths: list, totals: list, n: list, v: list) -> pa.Table:
+    kinds = {"block": pa.int64(), "shard": pa.int64(), "length": pa.int32(), "totals": pa.binary(), "n": pa.int64(), "v": pa.int64()}
+    return pa.table({k: pa.array(x, t) for (k, t), x in zip(kinds.items(), (blocks_, shards, lengths, totals, n, v))})
 
 
-def width(length: int, bits: int) -> int:
-    return 64 if length == 1 else bits
+def grams_of(words: bytes, tokens: bytes, sizes: list[int], order: int) -> Grams:
+    return Grams(np.frombuffer(words, np.uint64), expand(tokens).astype(np.int64), np.array(sizes, np.int64), order)
 
 
-def requests(blocked: DataFrame, order: int, shards_log: int, bits: int) -> DataFrame:
-    """shard, block, length, keys, counts: what each block asks each shard, and adds to it."""
+def requests(table: DataFrame, order: int, log: int) -> DataFrame:
+    """What each block asks each shard, and adds to it."""
 
-    def run(t: pa.Table) -> pa.Table:
-        grams = Grams(t["t"].to_pylist(), WordHashes(), order, bits)
-        keys = grams.keys()
-        counts = grams.counts(keys, ~t["held_out"].to_numpy(zero_copy_only=False))
-        edges = np.arange(1, 1 << shards_log, dtype=np.uint64) << np.uint64(64 - shards_log)
-        packs = []
-        for length, (k, c) in enumerate(zip(keys, counts), 1):
-            cut = np.searchsorted(k, edges)
-            packs += [(s, length, pack_keys(a, width(length, bits)), pack_counts(n)) for s, (a, n) in enumerate(zip(np.split(k, cut), np.split(c, cut))) if a.size]
-        return pa.table(
-            {
-                "shard": pa.array([p[0] for p in packs], pa.int32()), "block": pa.array([t["block"][0].as_py()] * len(packs), pa.int64()), "length": pa.array([p[1] for p in packs], pa.int32()),
-                "keys": pa.array([p[2] for p in packs], pa.binary()), "counts": pa.array([p[3] for p in packs], pa.binary()),
-            }
-        )
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                grams, rows = grams_of(r["words"], r["tokens"], r["sizes"], order), []
+                for length, (k, c) in enumerate(zip(grams.keys, grams.counts(~np.array(r["held_out"], bool))), 1):
+                    by = np.argsort(k)
+                    rows += packs(r["block"], length, k[by], c[by], log)
+                yield from asked(rows).to_batches()
+
+    return table.select("block", "held_out", "sizes", "words", "tokens").mapInArrow(run, ASK_SQL)
 
-    return blocked.groupBy("block").applyInArrow(run, "shard int, block long, length int, keys binary, counts binary")
 
+def merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The keys of all packs, their counts' sums, and where each pack's keys are among them."""
+    keys = [unpack_keys(k) for k in t["keys"].to_pylist()]
+    union = np.unique(np.concatenate(keys))
+    totals, at = np.zeros(union.size, np.int64), [np.searchsorted(union, k) for k in keys]
+    for a, c in zip(at, t["counts"].to_pylist()):
+        totals[a] += expand(c).astype(np.int64)
+    return union, totals, at
 
-def answers(asked: DataFrame, bits: int) -> DataFrame:
-    """shard, block, length, totals of the block's keys; and per shard of words a row without block: n, v."""
-    start = mix(np.array([START]))
+
+def answers(asks: DataFrame) -> DataFrame:
+    """Totals of every pack's keys; and per shard of words a row without block: n, v."""
+    start = int(mix(np.array([START], np.uint64))[0])
 
     def run(t: pa.Table) -> pa.Table:
         length, shard = t["length"][0].as_py(), t["shard"][0].as_py()
-        keys = [unpack_keys(k, width(length, bits)) for k in t["keys"].to_pylist()]
-        union = np.unique(np.concatenate(keys))
-        totals = np.zeros(union.size, np.int64)
-        at = [np.searchsorted(union, k) for k in keys]
-        for a, c in zip(at, t["counts"].to_pylist()):
-            totals[a] += unpack_counts(c)
-        words = totals[union != start[0]] if length == 1 else np.zeros(0, np.int64)
-        return pa.table(
-            {
-                "shard": pa.array([shard] * (len(at) + 1), pa.int32()), "block": pa.array([*t["block"].to_pylist(), None], pa.int64()), "length": pa.array([length] * (len(at) + 1), pa.int32()),
-                "totals": pa.array([*[pack_counts(totals[a]) for a in at], None], pa.binary()),
-                "n": pa.array([None] * len(at) + [int(words.sum())], pa.int64()), "v": pa.array([None] * len(at) + [int(np.count_nonzero(words))], pa.int64()),
-            }
+        union, totals, at = merged(t)
+        words = totals[union != np.uint64(start)] if length == 1 else np.zeros(0, np.int64)
+        m = len(at)
+        return answered(
+            [*t["block"].to_pylist(), None], [shard] * (m + 1), [length] * (m + 1), [*[squeeze(totals[a]) for a in at], None], [None] * m + [int(words.sum())], [None] * m + [int(np.count_nonzero(words))]
         )
 
-    return asked.groupBy("shard", "length").applyInArrow(run, "shard int, block long, length int, totals binary, n long, v long")
+    return asks.groupBy("shard", "length").applyInArrow(run, ANSWER_SQL)
+
+
+def ask(asks: DataFrame, log: int, total_log: int) -> DataFrame:
+    """Answers to the packs of 2**``log`` shards, of which there should be 2**``total_log``.
+
+    Where these are fewer, 2**STEP_LOG blocks and a shard make a group: it adds its blocks'
+    packs up, asks 2**STEP_LOG finer shards for the sums as a block of its own, and
+    answers its blocks. So a pack has a share of a block's n-grams that doesn't shrink as the corpus
+    grows, and a group holds as much as a block does.
+    """
+    if log >= total_log:
+        return answers(asks)
+    step = min(STEP_LOG, total_log - log)
+    group = F.xxhash64(F.shiftright("block", STEP_LOG), "shard", "length")
+    asks = asks.withColumn("group", group)
+
+    def join(t: pa.Table) -> pa.Table:
+        union, totals, _ = merged(t)
+        return asked(packs(t["group"][0].as_py(), t["length"][0].as_py(), union, totals, log + step))
+
+    up = ask(asks.groupBy("group").applyInArrow(join, ASK_SQL), log + step, total_log)
+
+    def split(t: pa.Table, found: pa.Table) -> pa.Table:
+        _, _, at = merged(t)
+        totals = np.concatenate([expand(x) for x in found.sort_by("shard")["totals"].to_pylist()])
+        m = len(at)
+        return answered(t["block"].to_pylist(), t["shard"].to_pylist(), t["length"].to_pylist(), [squeeze(totals[a]) for a in at], [None] * m, [None] * m)
+
+    down = asks.groupBy("group").cogroup(up.filter("block is not null").withColumnRenamed("block", "group").groupBy("group")).applyInArrow(split, ANSWER_SQL)
+    return down.union(up.filter("block is null"))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, held_out: Column | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, held_out: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Tokens: words in lower case (A-Z), cut at white space, and the text's end. Learned
     from all rows for which ``held_out`` (by default by the id's crc32) is false. Null
     text counts as empty: it has one token, its end. ``score`` is the text's log10
     probability by the model of the given order, ``base_score`` by add-one unigrams.
-    Repeated rows are learned from repeatedly. Other columns are ignored.
+    Repeated rows are learned from repeatedly. Other columns are ignored. An empty table
+    gives an empty result.
     """
+    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     _, size = total_bytes(docs, text_col)
-    n_blocks = max(1, -(-size // BLOCK_BYTES))
-    shards_log = max(4, int(size * NGRAMS_PER_BYTE / SHARD_NGRAMS).bit_length())
-    bits = min(64, max(40, int(size * NGRAMS_PER_BYTE + 1).bit_length() + SPARE_BITS))
-    t = text_bytes(docs, text_col)
-    block = F.pmod(F.xxhash64(F.col(id_col), t), F.lit(n_blocks))
-    blocked = docs.select(F.col(id_col).alias("id"), (is_held_out(id_col) if held_out is None else held_out).alias("held_out"), t.alias("t"), block.alias("block"))
-    got = checkpointed(answers(requests(blocked, order, shards_log, bits), bits))
+    total_log = max(4, int(size * NGRAMS_PER_BYTE / SHARD_NGRAMS).bit_length())
+    log = min(total_log, STEP_LOG)
+    table, table_path = written(blocks(docs, id_col, text_col, is_held_out(id_col) if held_out is None else held_out, block_bytes))
+    asks, asks_path = requests(table, order, log), None
+    if log < total_log:  # asked and answered by groups: read twice
+        asks, asks_path = written(asks)
+    got, got_path = written(ask(asks, log, total_log))
+    release(spark)
+    if asks_path:
+        remove(spark, asks_path)
     total = got.filter("block is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"] or 0)
 
-    def run(texts: pa.Table, packs: pa.Table) -> pa.Table:
-        grams = Grams(texts["t"].to_pylist(), WordHashes(), order, bits)
-        totals: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(order)]
-        for p in packs.sort_by("shard").to_pylist():
-            totals[p["length"] - 1].append(unpack_counts(p["totals"]))
-        automaton = Automaton(grams.keys(), [np.concatenate(x) for x in totals], n, v)
-        tokens, known, base, score = automaton.walk(grams)
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        r = texts.to_pylist()[0]
+        grams = grams_of(r["words"], r["tokens"], r["sizes"], order)
+        totals: list[list[np.ndarray]] = [[] for _ in range(order)]
+        for p in found.sort_by("shard").to_pylist():
+            totals[p["length"] - 1].append(expand(p["totals"]))
+        counts = []
+        for k, t in zip(grams.keys, totals):
+            by = np.argsort(k)
+            counts.append(np.empty(k.size, np.int64))
+            counts[-1][by] = np.concatenate(t)
+        automaton, words, scores = Automaton(grams, counts, n, v), grams.token.tolist(), []
+        for a, m in zip((grams.first + 1).tolist(), grams.sizes.tolist()):
+            scores.append(automaton.walk(words[a : a + m]))
+        times = counts[0][grams.token[grams.real]]
+        edges = np.cumsum(grams.sizes) - grams.sizes
+        base = np.add.reduceat(np.log10(times + 1), edges) - grams.sizes * math.log10(n + v + 1)
+        known = np.add.reduceat((times > 0).astype(np.int64), edges)
         return pa.table(
             {
-                "id": texts["id"], "held_out": texts["held_out"], "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
-                "train_tokens": pa.array([n] * len(tokens), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
+                "id": texts["ids"].combine_chunks().flatten(), "held_out": texts["held_out"].combine_chunks().flatten(), "n_tokens": pa.array(grams.sizes, pa.int64()), "n_known": pa.array(known, pa.int64()),
+                "train_tokens": pa.array([n] * len(scores), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64()),
             }
         )
 
-    packs = got.filter("block is not null").select("block", "shard", "length", "totals")
+    found = got.filter("block is not null").select("block", "shard", "length", "totals")
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocked.groupBy("block").cogroup(packs.groupBy("block")).applyInArrow(run, schema)
+    out, _ = written(table.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema))
+    release(spark)
+    remove(spark, table_path)
+    remove(spark, got_path)
+    return out
