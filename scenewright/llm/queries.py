@@ -111,12 +111,10 @@ WITH p AS (
 ), w AS (
   SELECT doc_id, place, line AS a, lead(line, 1) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY place)
 ), r AS (
-  SELECT doc_id, place, count(*) OVER (PARTITION BY a, b, c) AS n, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, place) AS k
-  FROM w WHERE c IS NOT NULL AND length(a) + length(b) + length(c) >= 40
+  SELECT doc_id, place, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, place) AS k
+  FROM w WHERE c IS NOT NULL
 ), g AS (
-  SELECT doc_id, unnest([place, place + 1, place + 2]) AS place FROM r WHERE k > 1
-  EXCEPT
-  SELECT doc_id, unnest([place, place + 1, place + 2]) FROM r WHERE k = 1 AND n > 1
+  SELECT DISTINCT doc_id, unnest([place, place + 1, place + 2]) AS place FROM r WHERE k > 1
 ), s AS (
   SELECT t.doc_id, coalesce(string_agg(t.part, '' ORDER BY t.i) FILTER (WHERE g.place IS NULL), '') AS clean,
          count(l.place) AS n_lines, count(g.place) AS n_removed

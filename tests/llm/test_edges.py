@@ -80,8 +80,8 @@ def test_line_dedup_defined_cases(spark):
     assert removed(abc, "x\n" + abc + "\ny") == [[], [1, 2, 3]]
     assert removed("A line of text here\nB line of text here", "A line of text here\nB line of text here") == [[], []]
     same = "\n".join(["the same line again and again"] * 5)
-    assert removed(same) == [[3, 4]]
-    assert removed("a.\nb.\nc.", "a.\nb.\nc.") == [[], []]
+    assert removed(same) == [[1, 2, 3, 4]]
+    assert removed("a.\nb.\nc.", "a.\nb.\nc.") == [[], [0, 1, 2]]
     assert removed(abc.replace("\n", " . "), None)[1] == []
 
 

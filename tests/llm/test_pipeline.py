@@ -12,29 +12,23 @@ SF = "/root/testdata/sf0.001"
 
 def plain_lines(docs):
     """doc_id -> text without later occurrences of three-line windows; None where no line is left."""
-    lines, first, later = {}, {}, {}
+    lines, later = {}, {}
     for i in sorted(docs):
         parts = re.split(r"(?<=\n)|(?<=[.!?] )", docs[i] or "")
         own = [(k, p.strip(" \t\n\x0b\x0c\r")) for k, p in enumerate(parts)]
         lines[i] = parts, [x for x in own if x[1]]
-    seen, again = {}, set()
+    seen = set()
     for i in sorted(docs):
         own = lines[i][1]
         for k in range(len(own) - 2):
             w = tuple(x[1] for x in own[k : k + 3])
-            if sum(map(len, w)) >= 40:
-                if w in seen:
-                    again.add(w)
-                    later.setdefault(i, set()).update(range(k, k + 3))
-                else:
-                    seen[w] = i, k
-    for w in again:
-        i, k = seen[w]
-        first.setdefault(i, set()).update(range(k, k + 3))
+            if w in seen:
+                later.setdefault(i, set()).update(range(k, k + 3))
+            seen.add(w)
     out = {}
     for i in docs:
         parts, own = lines[i]
-        gone = later.get(i, set()) - first.get(i, set())
+        gone = later.get(i, set())
         cut = {own[k][0] for k in gone}
         if gone and len(gone) == len(own):
             continue
