@@ -530,17 +530,20 @@ def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return edges.select("a", "b", "ea", "eb").mapInArrow(verify, "a long, b long")
 
 
-def pairs_within(node: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: list[bytes], block: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes with unlike labels that sizes and sketches let be linked; across the two blocks, or within one if it is its ``own`` partner."""
+def pairs_within(label: np.ndarray, n: np.ndarray, sketch: list[bytes], block: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with unlike labels that sizes and sketches let be linked, those with the most similar sketches first.
+
+    Across the two blocks, or within one if it is its ``own`` partner.
+    """
     order = np.argsort(n, kind="stable")
-    node, label, n, block = node[order], label[order], n[order], block[order]
+    label, n, block = label[order], n[order], block[order]
     width = np.array([len(sketch[i]) // 8 for i in order.tolist()])
     rows = {int(w): np.frombuffer(b"".join(sketch[i] for i in order[width == w].tolist()), np.uint64).reshape(-1, w) for w in np.unique(width)}
     start = {w: int(np.searchsorted(width, w)) for w in rows}
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     ends = np.searchsorted(n * THRESHOLD, n * 100, "right")
     folded: dict[tuple[int, int], np.ndarray] = {}
-    for i in range(node.size):
+    for i in range(n.size):
         w = int(width[i])
         mine = rows[w][i - start[w]]
         for other, others in rows.items():
@@ -553,14 +556,16 @@ def pairs_within(node: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: lis
             hit = (apart * (100 + THRESHOLD) <= (n[lo:hi] + n[i]) * (100 - THRESHOLD)) & (label[lo:hi] != label[i])
             if not own:
                 hit &= block[lo:hi] != block[i]
-            at = lo + np.flatnonzero(hit)
-            a.append(np.minimum(node[at], node[i]))
-            b.append(np.maximum(node[at], node[i]))
-    return np.concatenate(a), np.concatenate(b)
+            at = np.flatnonzero(hit)
+            a.append(np.full(at.size, order[i]))
+            b.append(order[lo + at])
+            far.append(apart[at] / (n[lo + at] + n[i]))
+    first = np.argsort(np.concatenate(far), kind="stable")
+    return np.concatenate(a)[first], np.concatenate(b)[first]
 
 
-def residual_candidates(live: DataFrame, labels: DataFrame, nodes: DataFrame, block_nodes: int) -> DataFrame:
-    """a, b: nodes of one bucket that aren't connected yet and may be linked, pivots apart.
+def residual_tasks(live: DataFrame, labels: DataFrame, block_nodes: int) -> DataFrame:
+    """task, own, block, node, label: nodes of buckets that aren't connected yet.
 
     A bucket is cut into blocks, and two blocks meet in one task.
     """
@@ -570,13 +575,37 @@ def residual_candidates(live: DataFrame, labels: DataFrame, nodes: DataFrame, bl
     last = (F.col("m") / block_nodes).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), last + 1).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
     task = F.xxhash64("sig", F.least("block", "with"), F.greatest("block", "with"))
-    rows = rows.select(task.alias("task"), (F.col("block") == F.col("with")).alias("own"), "block", "node", "label").join(nodes.select("node", "n", "sketch"), "node")
+    return rows.select(task.alias("task"), (F.col("block") == F.col("with")).alias("own"), "block", "node", "label")
+
+
+def of_table(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return pairs_within(*(t[c].to_numpy() for c in ("label", "n")), t["sketch"].to_pylist(), t["block"].to_numpy(), t["own"][0].as_py())
+
+
+def residual_wanted(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """task, node: the nodes of a task that sizes and sketches leave a partner."""
+
+    def run(t: pa.Table) -> pa.Table:
+        at = np.unique(np.concatenate(of_table(t)))
+        return t.select(["task", "node"]).take(pa.array(at))
+
+    return tasks.join(nodes.select("node", "n", "sketch"), "node").groupBy("task").applyInArrow(run, "task long, node long")
+
+
+def residual_links(tasks: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links that connect something new within their task, one fewer than its nodes at most."""
 
     def run(t: pa.Table) -> pa.Table:
-        a, b = pairs_within(*(t[c].to_numpy() for c in ("node", "label", "n")), t["sketch"].to_pylist(), t["block"].to_numpy(), t["own"][0].as_py())
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        node, label, out = t["node"].to_numpy(), t["label"].to_numpy().copy(), []
+        sets_ = [np.frombuffer(x, np.uint64) for x in t["elements"].to_pylist()]
+        for x, y in zip(*(z.tolist() for z in of_table(t))):
+            if label[x] != label[y] and linked(sets_[x], sets_[y]):
+                out.append((int(node[x]), int(node[y])))
+                label[label == label[y]] = label[x]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return rows.groupBy("task").applyInArrow(run, "a long, b long").distinct()
+    rows = tasks.join(nodes.select("node", "n", "sketch"), "node").join(sets, "node")
+    return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_nodes: int = BLOCK_NODES) -> DataFrame:
@@ -618,15 +647,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(links)
     first = stars.groupBy("b").agg(F.min("a").alias("a0"))
     others = stars.join(first, "b").filter("a <> a0").select("a", "b")
-    for candidates in (lambda: unconnected(others, labels), lambda: residual_candidates(live, labels, nodes, block_nodes)):
-        more, path = written(candidates())
-        release(spark)
+    more, path = written(unconnected(others, labels))
+    release(spark)
+    paths.append(path)
+    if not more.isEmpty():
+        new, path = written(verified(*with_sets(more, docs, id_col, text_col, nodes, seed)))
+        paths.append(path)
+        links = links.union(new)
+        labels = components(links)
+    tasks, path = written(residual_tasks(live, labels, block_nodes))
+    wanted, wanted_path = written(residual_wanted(tasks, nodes))
+    release(spark)
+    paths += [path, wanted_path]
+    if not wanted.isEmpty():
+        sets = fetch_sets(docs, id_col, text_col, nodes, wanted.select("node"), seed)
+        new, path = written(residual_links(tasks.join(wanted, ["task", "node"]), nodes, sets))
         paths.append(path)
-        if not more.isEmpty():
-            new, path = written(verified(*with_sets(more, docs, id_col, text_col, nodes, seed)))
-            paths.append(path)
-            links = links.union(new)
-            labels = components(links)
+        release(spark)
+        labels = components(links.union(new))
 
     firsts = nodes.select("node", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
