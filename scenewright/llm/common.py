@@ -115,7 +115,7 @@ def byte_table(separators: bytes) -> np.ndarray:
 #: Words cut at ASCII white space.
 SPACED = byte_table(b" \t\n\x0b\x0c\r")
 #: Bytes that are hashed at once: bounds a task's memory for a text of any length.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def word_hashes(texts: list[bytes | None], table: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:

@@ -10,8 +10,9 @@ history, and log-probabilities add up.
 The automaton grows with the corpus, so no task holds it. The texts are turned into blocks
 of a bounded size, whose words are numbered within the block, and written. Each block asks
 shards (by hash range) for the training counts of its distinct n-grams, in packed sorted
-arrays; a shard adds up what blocks counted and answers each in its own order. From the
-answers a block compiles the states and arcs that its texts can reach, and walks them.
+arrays; a shard adds up what blocks counted and answers each in its own order. The longest
+n-grams are asked for last, and only where the answers so far say that other blocks have
+both of their parts, too: the counts of all others are the block's own. From the answers a block compiles the states and arcs that its texts can reach, and walks them.
 A frequent n-gram is one entry per block. With more shards than a block fills packs for,
 blocks ask in groups, and groups ask finer shards: see ``ask``.
 
@@ -33,7 +34,7 @@ from .common import GOLDEN, mix, release, remove, text_bytes, total_bytes, word_
 #: Words in the longest n-gram.
 ORDER = 3
 #: Text in a block, and n-grams in a shard, roughly; n-grams in a byte of text.
-BLOCK_BYTES, SHARD_NGRAMS, NGRAMS_PER_BYTE = 4 << 20, 4_000_000, 0.25
+BLOCK_BYTES, SHARD_NGRAMS, NGRAMS_PER_BYTE = 3 << 20, 2_000_000, 0.15
 #: Shards (as a power of two) that a block asks directly, and blocks (likewise) that ask together beyond that.
 STEP_LOG = 9
 # What a history's own estimate weighs. For histories of one word, and of two or more: if it was
@@ -172,15 +173,14 @@ class Automaton:
         histories = totals[:-1]  # an n-gram of the greatest length is no state
         offset = np.cumsum([1] + [t.size for t in histories])
         state = [np.where(k, o + np.arange(k.size), 0) for k, o in zip(known[:-1], offset)]
-        self.failure, self.failure_weight = [0], [0.0]
+        self.failure, self.failure_weight = [np.zeros(1, np.int64)], [np.zeros(1)]
         weight = np.log10((totals[0] + 1) / (n + v + 1))  # of the arcs from the root; unseen words have one, too
         arcs, weights, targets = [np.arange(self.width)], [weight], [state[0] if state else np.zeros(self.width, np.int64)]
         for k, count in enumerate(histories):
             own = share(count, k + 1)
             shorter = self._suffix(grams, k)
-            self.failure += (state[k - 1][shorter] if k else np.zeros(count.size, np.int64)).tolist()
-            rest = np.log10(1 - own)
-            self.failure_weight += rest.tolist()
+            self.failure.append(state[k - 1][shorter] if k else np.zeros(count.size, np.int64))
+            self.failure_weight.append(np.log10(1 - own))
             history, last = grams.histories[k + 1], grams.words[k + 1]
             # What the shorter history gives the word: the weight of the path that fails once.
             below = weight[self._suffix(grams, k + 1)]
@@ -193,8 +193,9 @@ class Automaton:
             longest = state[k + 1] if k + 1 < len(histories) else state[k][self._suffix(grams, k + 1)]
             targets.append(longest[hit])
         keys = np.concatenate(arcs)
-        self.arcs = dict(zip(keys.tolist(), range(keys.size)))
-        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
+        by = np.argsort(keys)
+        self.arcs, self.weight, self.target = keys[by], np.concatenate(weights)[by], np.concatenate(targets)[by]
+        self.failure, self.failure_weight = np.concatenate(self.failure), np.concatenate(self.failure_weight)
         begin = [s[w == grams.start] for s, w in zip(state, grams.words)]
         self.initial = next((int(s[0]) for s in reversed(begin) if s.size and s[0]), 0)
 
@@ -206,19 +207,30 @@ class Automaton:
             out[grams.of[k]] = grams.of[k - 1]
         return out
 
-    def walk(self, words: list[int]) -> float:
-        """The log10 probability of a text, read from left to right."""
-        state, total, get = self.initial, 0.0, self.arcs.get
-        width, failure, failure_weight, weight, target = self.width, self.failure, self.failure_weight, self.weight, self.target
-        for w in words:
-            arc = get(state * width + w)
-            while arc is None:  # the root has an arc for every word
-                total += failure_weight[state]
-                state = failure[state]
-                arc = get(state * width + w)
-            total += weight[arc]
-            state = target[arc]
-        return total
+    def step(self, state: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states that words lead to, and the weights of the failure arcs and arcs taken."""
+        weight, state = np.zeros(state.size), state.copy()
+        at = np.searchsorted(self.arcs, state * self.width + words)
+        lost = np.flatnonzero(self.arcs[np.minimum(at, self.arcs.size - 1)] != state * self.width + words)
+        while lost.size:  # the root has an arc for every word
+            weight[lost] += self.failure_weight[state[lost]]
+            state[lost] = self.failure[state[lost]]
+            key = state[lost] * self.width + words[lost]
+            at[lost] = np.searchsorted(self.arcs, key)
+            lost = lost[self.arcs[np.minimum(at[lost], self.arcs.size - 1)] != key]
+        return self.target[at], weight + self.weight[at]
+
+    def walk(self, token: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The log10 probabilities of texts, each read from left to right; all walk abreast."""
+        order = np.argsort(-sizes, kind="stable")
+        begin, ends = first[order], np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))))
+        state, total = np.full(sizes.size, self.initial, np.int64), np.zeros(sizes.size)
+        for place, n in enumerate(ends.tolist()):  # n texts are longer than that
+            state, weight = self.step(state[:n], token[begin[:n] + place])
+            total[:n] += weight
+        out = np.empty(sizes.size)
+        out[order] = total
+        return out
 
 
 ASK_SQL = "block long, shard long, length int, keys binary, counts binary"
@@ -246,42 +258,91 @@ def grams_of(words: bytes, tokens: bytes, sizes: list[int], order: int) -> Grams
     return Grams(np.frombuffer(words, np.uint64), expand(tokens).astype(np.int64), np.array(sizes, np.int64), order)
 
 
+def own_requests(block: int, grams: Grams, own: list[np.ndarray], lengths: range, mask: np.ndarray | None, log: int) -> pa.Table:
+    rows = []
+    for length in lengths:
+        k, c = grams.keys[length - 1], own[length - 1]
+        if mask is not None:
+            k, c = k[mask], c[mask]
+        by = np.argsort(k)
+        rows += packs(block, length, k[by], c[by], log)
+    return asked(rows)
+
+
 def requests(table: DataFrame, order: int, log: int) -> DataFrame:
-    """What each block asks each shard, and adds to it."""
+    """What each block asks each shard, and adds to it: all n-grams but the longest."""
+    lengths = range(1, max(order, 2))
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                grams, rows = grams_of(r["words"], r["tokens"], r["sizes"], order), []
-                for length, (k, c) in enumerate(zip(grams.keys, grams.counts(~np.array(r["held_out"], bool))), 1):
-                    by = np.argsort(k)
-                    rows += packs(r["block"], length, k[by], c[by], log)
-                yield from asked(rows).to_batches()
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                grams = grams_of(r["words"], r["tokens"], r["sizes"], max(order - 1, 1))
+                yield from own_requests(r["block"], grams, grams.counts(~np.array(r["held_out"], bool)), lengths, None, log).to_batches()
 
     return table.select("block", "held_out", "sizes", "words", "tokens").mapInArrow(run, ASK_SQL)
 
 
-def merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The keys of all packs, their counts' sums, and where each pack's keys are among them."""
+def totals_of(grams: Grams, own: list[np.ndarray], found: pa.Table, lengths: range) -> tuple[list[np.ndarray], np.ndarray]:
+    """Training counts of n-grams of these lengths, from the answers in the order of shards.
+
+    And which of the longest n-grams may stand in other blocks: their first words do, and their last.
+    """
+    packed: dict[int, list[np.ndarray]] = {length: [np.zeros(0, np.int64)] for length in lengths}
+    for p in found.sort_by("shard").to_pylist():
+        packed[p["length"]].append(expand(p["totals"]).astype(np.int64))
+    out: list[np.ndarray] = []
+    wide, last = np.zeros(0, bool), len(grams.keys)
+    for length in range(1, last + 1):
+        mask = np.ones(grams.keys[length - 1].size, bool)
+        if 1 < length == last:
+            mask = wide[grams.histories[length - 1]] & wide[Automaton._suffix(grams, length - 1)]
+        if length in lengths:
+            at = np.flatnonzero(mask)
+            at = at[np.argsort(grams.keys[length - 1][at])]
+            got = np.concatenate(packed[length])
+            out.append(own[length - 1].copy())
+            out[-1][at] = got >> 1
+            wide = np.zeros(mask.size, bool)
+            wide[at] = got & 1 == 1
+    return out, mask
+
+
+def last_requests(table: DataFrame, found: DataFrame, order: int, log: int) -> DataFrame:
+    """The same for the longest n-grams, as far as they may stand in other blocks."""
+
+    def run(texts: pa.Table, answers_: pa.Table) -> pa.Table:
+        r = texts.to_pylist()[0]
+        grams = grams_of(r["words"], r["tokens"], r["sizes"], order)
+        own = grams.counts(~np.array(r["held_out"], bool))
+        _, mask = totals_of(grams, own, answers_, range(1, order))
+        return own_requests(r["block"], grams, own, range(order, order + 1), mask, log)
+
+    rows = table.select("block", "held_out", "sizes", "words", "tokens")
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, ASK_SQL)
+
+
+def merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The keys of all packs, their counts' sums, whether several packs have them, and where each pack's keys are among them."""
     keys = [unpack_keys(k) for k in t["keys"].to_pylist()]
-    union = np.unique(np.concatenate(keys))
+    union, times = np.unique(np.concatenate(keys), return_counts=True)
     totals, at = np.zeros(union.size, np.int64), [np.searchsorted(union, k) for k in keys]
     for a, c in zip(at, t["counts"].to_pylist()):
         totals[a] += expand(c).astype(np.int64)
-    return union, totals, at
+    return union, totals, times > 1, at
 
 
 def answers(asks: DataFrame) -> DataFrame:
-    """Totals of every pack's keys; and per shard of words a row without block: n, v."""
+    """For every pack's keys twice the totals, and one if other blocks asked, too; and per shard of words a row without block: n, v."""
     start = int(mix(np.array([START], np.uint64))[0])
 
     def run(t: pa.Table) -> pa.Table:
         length, shard = t["length"][0].as_py(), t["shard"][0].as_py()
-        union, totals, at = merged(t)
+        union, totals, wide, at = merged(t)
         words = totals[union != np.uint64(start)] if length == 1 else np.zeros(0, np.int64)
         m = len(at)
         return answered(
-            [*t["block"].to_pylist(), None], [shard] * (m + 1), [length] * (m + 1), [*[squeeze(totals[a]) for a in at], None], [None] * m + [int(words.sum())], [None] * m + [int(np.count_nonzero(words))]
+            [*t["block"].to_pylist(), None], [shard] * (m + 1), [length] * (m + 1), [*[squeeze(totals[a] << 1 | wide[a]) for a in at], None], [None] * m + [int(words.sum())], [None] * m + [int(np.count_nonzero(words))]
         )
 
     return asks.groupBy("shard", "length").applyInArrow(run, ANSWER_SQL)
@@ -302,14 +363,14 @@ def ask(asks: DataFrame, log: int, total_log: int) -> DataFrame:
     asks = asks.withColumn("group", group)
 
     def join(t: pa.Table) -> pa.Table:
-        union, totals, _ = merged(t)
+        union, totals, _, _ = merged(t)
         return asked(packs(t["group"][0].as_py(), t["length"][0].as_py(), union, totals, log + step))
 
     up = ask(asks.groupBy("group").applyInArrow(join, ASK_SQL), log + step, total_log)
 
     def split(t: pa.Table, found: pa.Table) -> pa.Table:
-        _, _, at = merged(t)
-        totals = np.concatenate([expand(x) for x in found.sort_by("shard")["totals"].to_pylist()])
+        _, _, wide, at = merged(t)
+        totals = np.concatenate([expand(x).astype(np.int64) for x in found.sort_by("shard")["totals"].to_pylist()]) | wide
         m = len(at)
         return answered(t["block"].to_pylist(), t["shard"].to_pylist(), t["length"].to_pylist(), [squeeze(totals[a]) for a in at], [None] * m, [None] * m)
 
@@ -333,30 +394,33 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     total_log = max(4, int(size * NGRAMS_PER_BYTE / SHARD_NGRAMS).bit_length())
     log = min(total_log, STEP_LOG)
     table, table_path = written(blocks(docs, id_col, text_col, is_held_out(id_col) if held_out is None else held_out, block_bytes))
-    asks, asks_path = requests(table, order, log), None
-    if log < total_log:  # asked and answered by groups: read twice
-        asks, asks_path = written(asks)
-    got, got_path = written(ask(asks, log, total_log))
-    release(spark)
-    if asks_path:
-        remove(spark, asks_path)
+
+    def answered_(asks: DataFrame) -> tuple[DataFrame, str]:
+        path = None
+        if log < total_log:  # asked and answered by groups: read twice
+            asks, path = written(asks)
+        got = written(ask(asks, log, total_log))
+        release(spark)
+        if path:
+            remove(spark, path)
+        return got
+
+    got, got_path = answered_(requests(table, order, log))
+    paths = [table_path, got_path]
     total = got.filter("block is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"] or 0)
+    found = got.filter("block is not null").select("block", "shard", "length", "totals")
+    if order > 1:
+        got, got_path = answered_(last_requests(table, found, order, log))
+        paths.append(got_path)
+        found = found.union(got.filter("block is not null").select("block", "shard", "length", "totals"))
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         r = texts.to_pylist()[0]
         grams = grams_of(r["words"], r["tokens"], r["sizes"], order)
-        totals: list[list[np.ndarray]] = [[] for _ in range(order)]
-        for p in found.sort_by("shard").to_pylist():
-            totals[p["length"] - 1].append(expand(p["totals"]))
-        counts = []
-        for k, t in zip(grams.keys, totals):
-            by = np.argsort(k)
-            counts.append(np.empty(k.size, np.int64))
-            counts[-1][by] = np.concatenate(t)
-        automaton, words, scores = Automaton(grams, counts, n, v), grams.token.tolist(), []
-        for a, m in zip((grams.first + 1).tolist(), grams.sizes.tolist()):
-            scores.append(automaton.walk(words[a : a + m]))
+        own = grams.counts(~np.array(r["held_out"], bool))
+        counts, _ = totals_of(grams, own, found, range(1, order + 1))
+        scores = Automaton(grams, counts, n, v).walk(grams.token, grams.first + 1, grams.sizes)
         times = counts[0][grams.token[grams.real]]
         edges = np.cumsum(grams.sizes) - grams.sizes
         base = np.add.reduceat(np.log10(times + 1), edges) - grams.sizes * math.log10(n + v + 1)
@@ -368,10 +432,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             }
         )
 
-    found = got.filter("block is not null").select("block", "shard", "length", "totals")
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out, _ = written(table.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema))
     release(spark)
-    remove(spark, table_path)
-    remove(spark, got_path)
+    for path in paths:
+        remove(spark, path)
     return out

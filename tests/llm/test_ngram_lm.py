@@ -96,9 +96,6 @@ def test_the_state_carried_is_the_longest_history_that_was_seen():
             one, two = int(grams.of[0][place - 1]), int(grams.of[1][place - 1])
             want = offset[1] + two if totals[1][two] else offset[0] + one if totals[0][one] else 0
             assert state == want
+            state = int(automaton.step(np.array([state]), grams.token[place : place + 1])[0][0])
             longest += want >= offset[1]
-            w = int(grams.token[place])
-            while (state, w) != (0, w) and state * automaton.width + w not in automaton.arcs:
-                state = automaton.failure[state]
-            state = automaton.target[automaton.arcs[state * automaton.width + w]]
     assert longest > 100
