@@ -23,16 +23,24 @@ MEMO_WORDS = 1_000_000
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the session's checkpoint folder, set or configured.
 
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is made
-    only where that is unset, as in tests on a single machine.
+    One of our own is made only on a local master, as in tests; a cluster without a
+    shared folder is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="scenewright-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the cluster's shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -43,8 +51,7 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     multiply in every round until the numbers themselves fill the driver; files have sizes.
     """
     spark = df.sparkSession
-    checkpointed(spark.range(0))
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path), path
 

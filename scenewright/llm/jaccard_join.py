@@ -55,7 +55,7 @@ SEEDS = 4
 #: Bits of the bitmap of wanted documents, at most (32 MB).
 BITMAP_LOG = 28
 #: Signatures a task gathers before it sends them off, those of one shard, and rows of one shard.
-CHUNK_SIGNATURES, SHARD_SIGNATURES, SHARD_ROWS = 1_000_000, 1_000_000, 100_000
+CHUNK_SIGNATURES, SHARD_SIGNATURES, SHARD_ROWS = 500_000, 1_000_000, 100_000
 #: Signatures in a byte of text, roughly: decides the number of shards only.
 SIGNATURES_PER_BYTE = 0.08
 #: Shards (as a power of two) that a chunk is cut into at once; more are made in several steps.
@@ -65,7 +65,7 @@ BLOCK_NODES = 2048
 #: Bytes of the smallest parity sketch.
 SKETCH_BYTES = 128
 #: Text that is turned into sets at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def combine(h: np.ndarray, size: int, m: int) -> np.ndarray:
