@@ -61,16 +61,10 @@ def itrans_to_casual(c: C) -> Column:
 
 
 def schwa_deletion(c: C, keep: list[str] = lx.SCHWA_EXCEPTIONS) -> Column:
-    """Drops a word's final ``a`` after a consonant, but for the words to keep."""
-    exceptions = F.array(*[F.lit(w) for w in sorted(set(keep))])
-
-    def word(w: Column) -> Column:
-        core = F.regexp_extract(w, r"^([\s\S]*?)([.,!?;:]*)\z", 1)
-        tail = F.regexp_extract(w, r"^([\s\S]*?)([.,!?;:]*)\z", 2)
-        cut = F.regexp_replace(core, r"^([a-zA-Z]*[bcdfghjklmnpqrstvwxyz])a\z", "$1")
-        return F.when(F.array_contains(exceptions, F.lower(core)), w).otherwise(F.concat(cut, tail))
-
-    return F.array_join(F.transform(F.split(col(c), " "), word), " ")
+    """Drops a word's final ``a`` after a consonant, but for the words to keep; one pass over the text."""
+    end = r"(?=[.,!?;:]*(?: |\z))"
+    spared = rf"(?!(?i:{'|'.join(sorted(set(keep)))}){end})" if keep else ""
+    return F.regexp_replace(col(c), rf"(?<![^ ]){spared}([a-zA-Z]*[bcdfghjklmnpqrstvwxyz])a{end}", "$1")
 
 
 def word_fixes(c: C) -> Column:
@@ -233,18 +227,25 @@ def render(template: str, **slots: C) -> Column:
     return out
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` mentions it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def code_mixing(c: C) -> Column:
     """cmi, en_ratio and hi_ratio of a text: English by list, the rest as the other language."""
-    w = words(c)
-    n = F.size(w)
-    en = F.size(F.filter(w, lambda x: x.isin(lx.ENGLISH_WORDS)))
-    some = n > 0
-    safe = F.greatest(n, F.lit(1))
-    return F.struct(
-        F.when(some, F.round(100.0 * (n - F.greatest(en, n - en)) / safe, 2)).otherwise(0.0).alias("cmi"),
-        F.when(some, F.round(en / safe, 3)).otherwise(0.0).alias("en_ratio"),
-        F.when(some, F.round((n - en) / safe, 3)).otherwise(0.0).alias("hi_ratio"),
-    )
+
+    def shares(counts: Column) -> Column:
+        n, en = counts["n"], counts["en"]
+        some, safe = n > 0, F.greatest(n, F.lit(1))
+        return F.struct(
+            F.when(some, F.round(100.0 * (n - F.greatest(en, n - en)) / safe, 2)).otherwise(0.0).alias("cmi"),
+            F.when(some, F.round(en / safe, 3)).otherwise(0.0).alias("en_ratio"),
+            F.when(some, F.round((n - en) / safe, 3)).otherwise(0.0).alias("hi_ratio"),
+        )
+
+    counts = bound(words(c), lambda w: F.struct(F.size(w).alias("n"), F.size(F.filter(w, lambda x: x.isin(lx.ENGLISH_WORDS))).alias("en")))
+    return bound(counts, shares)
 
 
 # Prompts of the model steps, in our own words.

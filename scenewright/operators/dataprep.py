@@ -21,10 +21,13 @@ def stems_present(slangs: str | Column, output: str | Column) -> Column:
     """Whether a slang stands in the output, or an output word starts with the first four letters of one of its words."""
     low = F.lower(F.coalesce(tx.col(output), F.lit("")))
     word_list = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda w: w != "")
-    out_words = word_list(low)
     stem = lambda w: F.when(F.char_length(w) >= 5, F.substring(w, 1, 4)).otherwise(w)
-    by_stem = lambda s: F.exists(word_list(s), lambda w: F.exists(out_words, lambda o: F.startswith(o, stem(w))))
-    return F.exists(tx.col(slangs), lambda s: F.contains(low, F.lower(s)) | by_stem(s))
+
+    def present(both: Column) -> Column:
+        by_stem = lambda s: F.exists(F.transform(word_list(s), stem), lambda w: F.exists(both["words"], lambda o: F.startswith(o, w)))
+        return F.exists(tx.col(slangs), lambda s: F.contains(both["low"], F.lower(s)) | by_stem(s))
+
+    return tx.bound(F.struct(low.alias("low"), word_list(low).alias("words")), present)
 
 
 def fuzzy_present(rows: DataFrame, slangs: str, output: str, at_least: float = 80.0) -> DataFrame:

@@ -19,10 +19,17 @@ LEXICON_LIMIT = 2_000_000
 
 def inserted_words(neutral: str, slang: str) -> Column:
     """Words of ``slang`` beyond those of ``neutral``, as often as they are more; sorted."""
-    a, b = tx.words(neutral), tx.words(slang)
     times = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
-    per_word = F.transform(F.array_distinct(b), lambda w: F.array_repeat(w, F.greatest(times(b, w) - times(a, w), F.lit(0))))
-    return F.array_sort(F.flatten(per_word))
+
+    def more(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        # Words that only one side has need no counting against the other.
+        shared = F.array_intersect(b, a)
+        fresh = F.filter(b, lambda w: ~F.array_contains(shared, w))
+        again = F.flatten(F.transform(shared, lambda w: F.array_repeat(w, F.greatest(times(b, w) - times(a, w), F.lit(0)))))
+        return F.array_sort(F.concat(fresh, again))
+
+    return tx.bound(F.struct(tx.words(neutral).alias("a"), tx.words(slang).alias("b")), more)
 
 
 def slang_finder(phrases: list[str], words: list[str]):
@@ -112,9 +119,10 @@ def covered_events(dialogue: str | Column, events: str | Column, stop: list[str]
     """covered, total and recall: events any of whose words, stop words aside, is in the dialogue."""
     low = F.lower(F.coalesce(tx.col(dialogue), F.lit("")))
     evs = F.coalesce(tx.col(events), F.array().cast("array<string>"))
-    told = lambda e: F.exists(F.filter(tx.words(e), lambda w: ~w.isin(stop)), lambda w: F.contains(low, w))
-    n = F.size(F.filter(evs, told))
-    return F.struct(n.alias("covered"), F.size(evs).alias("total"), (n / F.greatest(F.size(evs), F.lit(1))).alias("recall"))
+    told = lambda text: lambda e: F.exists(F.filter(tx.words(e), lambda w: ~w.isin(stop)), lambda w: F.contains(text, w))
+    n = tx.bound(low, lambda text: F.size(F.filter(evs, told(text))))
+    counts = F.struct(n.alias("covered"), F.size(evs).alias("total"))
+    return tx.bound(counts, lambda k: F.struct(k["covered"].alias("covered"), k["total"].alias("total"), (k["covered"] / F.greatest(k["total"], F.lit(1))).alias("recall")))
 
 
 def validate(rows: DataFrame, similarity: str = "similarity", recall: str = "recall", min_similarity: float = 0.82, min_recall: float = 0.5) -> DataFrame:
@@ -156,6 +164,10 @@ def editor_metrics(rows: DataFrame, lexicon: DataFrame, prediction: str = "predi
 
 def edit_weight(source: str, target: str, weight: float = 2.0) -> Column:
     """Mean weight of the target's words: ``weight`` where the source lacks the word, else 1."""
-    a, b = tx.words(source), tx.words(target)
-    total = F.aggregate(b, F.lit(0.0), lambda s, w: s + F.when(F.array_contains(a, w), 1.0).otherwise(float(weight)))
-    return F.when(F.size(b) > 0, total / F.greatest(F.size(b), F.lit(1))).otherwise(F.lit(0.0))
+
+    def mean(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        total = F.aggregate(b, F.lit(0.0), lambda s, w: s + F.when(F.array_contains(a, w), 1.0).otherwise(float(weight)))
+        return F.when(F.size(b) > 0, total / F.greatest(F.size(b), F.lit(1))).otherwise(F.lit(0.0))
+
+    return tx.bound(F.struct(tx.words(source).alias("a"), tx.words(target).alias("b")), mean)
