@@ -6,12 +6,12 @@ columns of ``documents``. Between stages the rows are written as Parquet and rea
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenewright.llm import common
 from scenewright.llm import decontaminate as decontamination
 from scenewright.llm import jaccard_join, line_dedup, mixing, quality_knn
 
@@ -58,8 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage applied to ``documents``; stages' rows are kept in the shared checkpoint folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scenewright-")
-    at = f"{at.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    at = f"{common.shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
