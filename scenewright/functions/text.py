@@ -254,6 +254,9 @@ PROMPTS = {
     "dialogue": "Scene goal: {goal}\nWhat happens: {events}\nWrite at most three short lines of talk between {speaker} and {listener}.",
     "placement": "Line: {line}\nWork exactly one of these into it and change nothing else: {candidates}",
     "intent": "Name the one intent of this line, out of {labels}.\nLine: {line}",
-    "pair": "Write a plain line and the same line with the expression {slang} for the mood {control}. Reply with a JSON object: neutral, output.",
+    "edit": "insert slang | control: {control} | {line}",  # fixed value: the form that editor examples have
+    "insert": "Line: {neutral}\nWork the expression {slang} into it and change nothing else. Reply with a JSON object: output.",
+    "novel": "Setting: {context}. Write a plain line for the mood {control}, and the same line with the expression {slang}. Reply with a JSON object: neutral, output.",
+    "verdict": "Plain: {neutral}\nWith {slang}: {output}\nMood: {control}\nReply with a JSON object of booleans: is_hinglish, grammatical, meaning_preserved, intent_match, is_real_slang.",
     "judge": "Rate from 1 to 5 how the added expressions fit the mood and the place. Scene: {scene}\nReply with a JSON object: emotion_fit, placement.",
 }

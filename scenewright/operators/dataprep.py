@@ -80,26 +80,44 @@ def without_slang(output: str | Column, slang: str | Column) -> Column:
     return F.regexp_replace(tx.squeeze(F.regexp_replace(tx.col(output), quoted, F.lit(""))), r"^[ ,.!]+|[ ,.!]+$", "")
 
 
-def structural_check(rows: DataFrame, seen: DataFrame, order: list[str], novel: bool = False, min_ratio: float | None = 70.0) -> DataFrame:
+def structural_check(rows: DataFrame, seen: DataFrame, order: list[str], novel: bool | Column = False, min_ratio: float | None = 70.0) -> DataFrame:
     """Adds reason, against earlier outputs (``seen``: output, neutral) and earlier rows of the batch.
 
-    A row is a duplicate of a batch row before it only if that one is otherwise good.
+    A row is a duplicate of a batch row before it only if that one is otherwise good. Rows
+    that are ``novel`` may not repeat a neutral line either.
     """
-    rows = rows.withColumn("_ko", tx.dedup_key("output")).withColumn("_kn", tx.dedup_key("neutral"))
+    novel = novel if isinstance(novel, Column) else F.lit(novel)
+    rows = rows.withColumn("_ko", tx.dedup_key("output")).withColumn("_kn", F.when(novel, tx.dedup_key("neutral")))
     if min_ratio is not None:
         rows = rows.withColumn("similarity", token_sort_ratio(F.lower("neutral"), F.lower(without_slang("output", "slang"))))
-    old = seen.select(tx.dedup_key("output").alias("_ko"), F.lit(True).alias("_old")).distinct()
-    rows = rows.join(old, "_ko", "left")
-    dup = F.coalesce("_old", F.lit(False))
-    if novel:
-        rows = rows.join(seen.select(tx.dedup_key("neutral").alias("_kn"), F.lit(True).alias("_oldn")).distinct(), "_kn", "left")
-        dup = dup | F.coalesce("_oldn", F.lit(False))
+    rows = rows.join(seen.select(tx.dedup_key("output").alias("_ko"), F.lit(True).alias("_old")).distinct(), "_ko", "left")
+    rows = rows.join(seen.select(tx.dedup_key("neutral").alias("_kn"), F.lit(True).alias("_oldn")).distinct(), "_kn", "left")
+    dup = F.coalesce("_old", F.lit(False)) | F.coalesce("_oldn", F.lit(False))
     rows = rows.withColumn("reason", structural_reason(min_ratio, dup))
-    first = F.row_number().over(W.partitionBy("_ko", F.col("reason") == "ok").orderBy(*order))
-    rows = rows.withColumn("reason", F.when((F.col("reason") == "ok") & (first > 1), "duplicate").otherwise(F.col("reason")))
+    rows = later_repeats(later_repeats(rows, "_ko", order), "_kn", order)
     return rows.drop("_ko", "_kn", "_old", "_oldn")
 
 
+def later_repeats(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Calls all good rows of a key but the first ``duplicate``; a null key is no key.
+
+    Salted in two steps: of each salt's rows the first, then of those the first. No task
+    sorts all rows of a key, and rows with a fault never meet.
+    """
+    good, some = F.col("reason") == "ok", F.xxhash64(*order) % 1024
+    alone = F.when(good & F.col(key).isNotNull(), F.lit(None)).otherwise(F.xxhash64(F.lit(1), *order))
+    rows = rows.withColumn("_lead", F.row_number().over(W.partitionBy(key, alone, some).orderBy(*order)) == 1)
+    rest = F.when(F.col("_lead"), F.lit(None)).otherwise(some)
+    first = F.row_number().over(W.partitionBy(key, alone, rest).orderBy(*order)) == 1
+    late = good & F.col(key).isNotNull() & ~(F.col("_lead") & first)
+    return rows.withColumn("reason", F.when(late, "duplicate").otherwise(F.col("reason"))).drop("_lead")
+
+
+def distinct_controls(pairs: DataFrame, control: str = "control") -> DataFrame:
+    """The control tokens that occur."""
+    return pairs.select(F.col(control).alias("control")).distinct()
+
+
 def reason_counts(checked: DataFrame) -> DataFrame:
     """Rows of each reason and their share in hundredths."""
     out = checked.groupBy("reason").agg(F.count("*").alias("n"))

@@ -86,9 +86,15 @@ def mode_mix(u: Column, share: float = 0.85) -> Column:
 
 
 def capped_pool(df: DataFrame, group: Sequence[str], used: Column, cap: Column) -> DataFrame:
-    """Rows used less than ``cap`` times; a group in which all are at the cap keeps all."""
-    left = F.max((used < cap).cast("int")).over(W.partitionBy(*group))
-    return df.withColumn("_left", left).filter((F.col("_left") == 0) | (used < cap)).drop("_left")
+    """Rows used less than ``cap`` times; a group in which all are at the cap keeps all.
+
+    Which groups have any is a partial aggregate of one row a group, not a window over its rows.
+    """
+    rows = df.withColumn("_free", F.coalesce(used < cap, F.lit(False)))
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    any_free = rows.groupBy(*keys).agg(F.max("_free").alias("_any"))
+    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    return rows.join(any_free, on).filter("_free or not _any").select(*df.columns)
 
 
 def usage_cap(n: Column | int) -> Column:
@@ -101,3 +107,11 @@ def complement(df: DataFrame, flag: Column) -> tuple[DataFrame, DataFrame]:
     """Rows for which a flag holds, and all others."""
     rows = df.withColumn("_flag", F.coalesce(flag, F.lit(False)))
     return rows.filter("_flag").drop("_flag"), rows.filter("not _flag").drop("_flag")
+
+
+def union_all(first: DataFrame, *more: DataFrame) -> DataFrame:
+    """All rows of all tables, columns by name; a column that a table lacks is null there."""
+    out = first
+    for df in more:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+import heapq
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,37 +100,42 @@ def candidates(lines: DataFrame, keys: list[str], pool: str = "pool", k: int = 5
     return weighted_sample(rows, keys, candidate_weight(), unit_hash(F.lit(seed), *keys, "slang"), k, "slang")
 
 
-def usage_fold(lines: DataFrame, story: str, order: list[str], pool: str = "pool", k: int = 5) -> DataFrame:
+def usage_fold(lines: DataFrame, story: str, order: list[str], pool: str = "pool", k: int = 5, seed: str = "") -> DataFrame:
     """Candidates with feedback: what a line took lowers its weight on later lines of the story.
 
-    Each line takes the first of its candidates. Lines of a story are walked in order in one
-    task, as every choice depends on those before; stories are independent of each other.
+    Each line takes the first of its candidates. Every choice depends on those before, so a
+    story is walked in order by one task; it streams through in Arrow batches, and what is
+    carried is the use of each slang, so a very long story needs no more memory than a short
+    one. Stories are independent of each other. A null pool gives no candidates.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema if f.name in [story, *order])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-        import math
-
-        used: dict[str, int] = {}
-        last, out = None, []
-        for i, row in enumerate(pdf.sort_values(order).itertuples(index=False)):
-            draws = []
-            for s in getattr(row, pool):
-                w = 1.0 / (1 + used.get(s, 0)) * (0.05 if s == last else 1.0) * (0.35 if s.lower() in ("bhai", "yaar") else 1.0)
-                u = int(hashlib.md5(f"{getattr(row, story)}|{i}|{s}".encode()).hexdigest()[:12], 16) / 16**12
-                draws.append((-math.log(max(u, 1e-15)) / w, s))
-            chosen = [s for _, s in sorted(draws)[:k]]
-            if chosen:
-                last = chosen[0]
-                used[last] = used.get(last, 0) + 1
-            out.append(chosen)
-        done = pdf.sort_values(order)[[story, *order]].copy()
-        done["candidates"] = out
-        done["taken"] = [c[0] if c else None for c in out]
-        return done
-
-    return lines.groupBy(story).applyInPandas(run, f"{fields}, candidates array<string>, taken string")
+    kept = [story, *order]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.select(*kept).schema)
+    name = F.coalesce(F.col(story).cast("string"), F.lit("\u0000"))
+    rows = lines.select(*kept, F.col(pool).alias("_pool"), name.alias("_story")).repartition("_story").sortWithinPartitions("_story", *order)
+
+    def run(batches):
+        here, used, last, i = None, {}, None, 0
+        for batch in batches:
+            chosen, taken = [], []
+            for of, items in zip(batch.column("_story").to_pylist(), batch.column("_pool").to_pylist()):
+                if of != here:
+                    here, used, last, i = of, {}, None, 0
+                draws = []
+                for s in items or []:
+                    w = 1.0 / (1 + used.get(s, 0)) * (0.05 if s == last else 1.0) * (0.35 if s.lower() in ("bhai", "yaar") else 1.0)
+                    u = int(hashlib.md5(f"{seed}{of}|{i}|{s}".encode()).hexdigest()[:12], 16) / 16**12
+                    draws.append((-math.log(max(u, 1e-15)) / w, s))
+                best = [s for _, s in heapq.nsmallest(k, draws)]
+                if best:
+                    last = best[0]
+                    used[last] = used.get(last, 0) + 1
+                chosen.append(best)
+                taken.append(best[0] if best else None)
+                i += 1
+            made = [pa.array(chosen, pa.list_(pa.string())), pa.array(taken, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, "candidates", "taken"])
+
+    return rows.mapInArrow(run, f"{fields}, candidates array<string>, taken string")
 
 
 def place(line: str | Column, slang: str | Column) -> Column:

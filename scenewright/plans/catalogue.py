@@ -14,11 +14,12 @@ from ..functions import lexicons as lx
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..functions.transliterate import transliterate
+from ..operators import augment
 from ..operators import characters as ch
 from ..operators import dataprep as dp
 from ..operators import gates, metrics, relational, scenes, slang
+from . import evaluation, story
 from . import providers as pv
-from . import story
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -718,3 +719,110 @@ def q54_mode_mix(spark, sf_dir):
 def q55_usage_weighted(spark, sf_dir):
     c = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("story"), F.col("turn").alias("line"), F.array(*[F.lit(x) for x in ("yaar", "mast", "kadak", "bhai", "scene")]).alias("pool"))
     return slang.usage_fold(c, "story", ["line"]).select("story", "line", "taken")
+
+
+# ---- making pairs, the editor, the baseline ---------------------------------
+
+
+def sql_unit(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+
+
+def sql_draw(attempts: str, key: list[str], seed: str) -> str:
+    """CTEs: items, pools (control or '', slang, weight) and ``drawn``, each attempt with its slang."""
+    ks = ", ".join(key)
+    return f"""named AS (SELECT p_type AS control, unnest(string_split(p_name, ' ')) AS slang, p_size FROM part),
+taken AS (SELECT slang, count(*) AS used FROM named WHERE p_size = 1 GROUP BY slang),
+freqs AS (SELECT slang, count(*) AS freq FROM named GROUP BY slang),
+items AS (SELECT control, slang, 1.0::DOUBLE / (1 + 3.0::DOUBLE * coalesce(used, 0) + 0.1::DOUBLE * freq) AS w, coalesce(used, 0) < 4 AS free
+  FROM (SELECT DISTINCT control, slang FROM named) JOIN freqs USING (slang) LEFT JOIN taken USING (slang)),
+both_ AS (SELECT * FROM items UNION ALL SELECT '', slang, sum(w), bool_or(free) FROM items GROUP BY slang),
+pools AS (SELECT * FROM both_ QUALIFY free OR NOT bool_or(free) OVER (PARTITION BY control)),
+drawn AS (SELECT {ks}, a.control, arg_min(slang, {{'k': -ln(greatest({sql_unit(f"'{seed}'", *key, "slang")}, 1e-15)) / w, 's': slang}}) AS slang
+  FROM (SELECT *, CASE WHEN control IN (SELECT control FROM items) THEN control ELSE '' END AS c FROM {attempts}) a JOIN pools ON pools.control = a.c GROUP BY {ks}, a.control)"""
+
+
+def draw_inputs(spark, sf_dir):
+    """Pools of the parts' names, where names of the smallest parts are used already."""
+    p = named_parts(spark, sf_dir)
+    used = t(spark, sf_dir, "part").filter("p_size = 1").select(F.explode(F.split("p_name", " ")).alias("slang")).groupBy("slang").agg(F.count("*").alias("used"))
+    return augment.draw_pools(augment.lexicon_items(p), used, 4)
+
+
+@query(f"""WITH att AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'none' ELSE p_type END AS control FROM lineitem JOIN part ON p_partkey = l_partkey),
+{sql_draw("att", ["l_orderkey", "l_linenumber"], "11")} SELECT slang, count(*) AS draws, sum(l_orderkey) AS orders FROM att JOIN drawn USING (l_orderkey, l_linenumber, control) GROUP BY slang""")
+def q56_draw_slang(spark, sf_dir):
+    control = F.when(F.col("l_linenumber") == 7, "none").otherwise(F.col("p_type")).alias("control")
+    att = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", control)
+    drawn = augment.draw_slang(att, draw_inputs(spark, sf_dir), ["l_orderkey", "l_linenumber"], "11")
+    return drawn.groupBy("slang").agg(F.count("*").alias("draws"), F.sum("l_orderkey").alias("orders"))
+
+
+@query(rf"""WITH {PAIRS}, att AS (
+  SELECT p.conv_id, p.turn, {sql_strip("neutral")} AS neutral, slang AS other, coalesce(p_type, 'none') AS control, CASE WHEN {sql_unit("'mode'", "p.conv_id", "p.turn")} < 0.85 THEN 'variant' ELSE 'novel' END AS mode
+  FROM pairs p LEFT JOIN part ON p_partkey = conv_id
+), {sql_draw("att", ["conv_id", "turn"], "13")}, made AS (
+  SELECT a.conv_id, a.turn, d.slang, mode, CASE WHEN (a.conv_id + a.turn) % 7 = 3 THEN 'api_error' WHEN (a.conv_id + a.turn) % 7 = 5 THEN 'unparseable' END AS broken,
+    CASE WHEN mode = 'variant' THEN neutral ELSE {sql_strip("other")} END AS neutral, {sql_strip("d.slang || ', ' || CASE WHEN mode = 'variant' THEN neutral ELSE other END")} AS output
+  FROM att a JOIN drawn d USING (conv_id, turn)
+), k AS (
+  SELECT *, trim(regexp_replace(lower(output), '[^a-z0-9 ]', '', 'g')) AS ko, CASE WHEN mode = 'novel' THEN trim(regexp_replace(lower(neutral), '[^a-z0-9 ]', '', 'g')) END AS kn FROM made WHERE broken IS NULL
+), old AS (
+  SELECT trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', '', 'g')) AS k FROM benchmark
+), r AS (
+  SELECT *, CASE WHEN neutral = '' OR output = '' THEN 'empty' WHEN regexp_matches(neutral, '[ऀ-ॿ]') OR regexp_matches(output, '[ऀ-ॿ]') THEN 'devanagari'
+    WHEN NOT contains(lower(output), lower(slang)) THEN 'slang_absent' WHEN lower(neutral) = lower(output) THEN 'no_change'
+    WHEN len(regexp_extract_all(neutral, '\S+')) NOT BETWEEN 4 AND 26 THEN 'length'
+    WHEN ko IN (FROM old) OR coalesce(kn IN (FROM old), false) THEN 'duplicate' ELSE 'ok' END AS reason FROM k
+), r2 AS (
+  SELECT * REPLACE (CASE WHEN reason = 'ok' AND row_number() OVER (PARTITION BY ko, reason ORDER BY conv_id, turn) > 1 THEN 'duplicate' ELSE reason END AS reason) FROM r
+), r3 AS (
+  SELECT * REPLACE (CASE WHEN reason = 'ok' AND kn IS NOT NULL AND row_number() OVER (PARTITION BY kn, reason ORDER BY conv_id, turn) > 1 THEN 'duplicate' ELSE reason END AS reason) FROM r2
+)
+SELECT conv_id, turn, mode, slang, CASE WHEN reason = 'ok' AND length(output) % 4 = 0 THEN 'judge_reject' ELSE reason END AS reason FROM r3
+UNION ALL SELECT conv_id, turn, mode, slang, broken FROM made WHERE broken IS NOT NULL""")
+def q57_attempt_outcomes(spark, sf_dir):
+    part = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("conv_id"), F.col("p_type").alias("control"))
+    mode = relational.mode_mix(relational.unit_hash(F.lit("mode"), "conv_id", "turn"))
+    att = pairs(spark, sf_dir).join(part, "conv_id", "left").select("conv_id", "turn", "neutral", F.col("slang").alias("other"), F.coalesce("control", F.lit("none")).alias("control"), mode.alias("mode"))
+    drawn = augment.draw_slang(att, draw_inputs(spark, sf_dir), ["conv_id", "turn"], "13")
+    line = F.when(F.col("mode") == "variant", tx.strip("neutral")).otherwise(F.col("other"))
+    answer = F.to_json(F.struct(line.alias("neutral"), F.concat("slang", F.lit(", "), line).alias("output")))
+    turn = (F.col("conv_id") + F.col("turn")) % 7
+    asked = pv.rule(F.when(turn == 3, None).when(turn == 5, "no record").otherwise(answer))(drawn)
+    grants = F.to_json(F.struct(*[(F.length("output") % 4 != 0).alias(v) for v in augment.VERDICTS]))
+    seen = t(spark, sf_dir, "benchmark").select(F.coalesce("text", F.lit("")).alias("output"), F.coalesce("text", F.lit("")).alias("neutral"))
+    done = augment.outcomes(asked, seen, ["conv_id", "turn"], pv.rule(grants), min_ratio=None)
+    return done.select("conv_id", "turn", "mode", "slang", "reason")
+
+
+@query("SELECT DISTINCT p_type AS control FROM part")
+def q58_distinct_controls(spark, sf_dir):
+    return dp.distinct_controls(t(spark, sf_dir, "part"), "p_type")
+
+
+@query(f"""WITH m(intent, control) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in lx.EDITOR_CONTROLS.items())}),
+l AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN 'ASSERT_POSITIVE' WHEN 1 THEN 'EXPRESS_STRESS' WHEN 2 THEN 'other' END AS intent FROM conversations)
+SELECT conv_id, turn, md5(CASE WHEN text LIKE '%?' THEN text ELSE 'said under ' || coalesce(control, 'ASSERT_NEUTRAL') END) AS new FROM l LEFT JOIN m USING (intent)""")
+def q59_editor(spark, sf_dir):
+    n = F.col("turn") % 4
+    lines = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("utterance"), F.when(n == 0, "ASSERT_POSITIVE").when(n == 1, "EXPRESS_STRESS").when(n == 2, "other").alias("intent"))
+    under = F.regexp_extract("prompt_key", r"control: (\S+) \|", 1)
+    editor = pv.rule(F.when(F.endswith("prompt_key", F.lit("?")), None).otherwise(F.concat(F.lit("Said, under "), under)))
+    told = pv.edit_lines(lines, editor).withColumn("new", F.replace("new", F.lit("Said, under"), F.lit("said under")))
+    return told.select("conv_id", "turn", F.md5("new").alias("new"))
+
+
+@query(rf"""WITH l AS (SELECT {sql_strip("coalesce(text, '')")} AS line FROM conversations) SELECT count(*) AS processed, count(*) FILTER (line LIKE '%?') AS failures FROM l WHERE line <> ''""")
+def q60_baseline(spark, sf_dir):
+    lines = t(spark, sf_dir, "conversations").select("text")
+    done = evaluation.baseline(lines, pv.rule(F.when(~F.endswith("prompt_key", F.lit("?")), F.upper("prompt_key"))))
+    return evaluation.baseline_counts(done)
+
+
+@query("""SELECT 'documents' AS part, doc_id AS id, lang, NULL::VARCHAR AS role FROM documents UNION ALL SELECT 'conversations', conv_id, NULL, role FROM conversations UNION ALL SELECT 'benchmark', item_id, NULL, NULL FROM benchmark""")
+def q61_union_all(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select(F.lit("documents").alias("part"), F.col("doc_id").alias("id"), "lang")
+    c = t(spark, sf_dir, "conversations").select("role", F.col("conv_id").alias("id"), F.lit("conversations").alias("part"))
+    b = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("part"))
+    return relational.union_all(d, c, b)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import metrics
 from ..operators.relational import left_lookup
+from . import providers as pv
 
 
 def scene_pairs(slang: DataFrame, neutral: DataFrame) -> DataFrame:
@@ -26,3 +28,15 @@ def evaluate(pairs: DataFrame, phrases: DataFrame, singles: DataFrame, similarit
     rows = rows.withColumn("similarity", similarity).withColumn("recall", metrics.covered_events("slang", F.col("events.key_events"))["recall"])
     scenes = metrics.validate(rows)
     return {"scenes": scenes, "rollup": metrics.script_rollup(scenes), "top_slang": metrics.top_slang(scenes), "report": metrics.report(scenes, judged)}
+
+
+def baseline(lines: DataFrame, romanizer: pv.Provider, text: str = "text") -> DataFrame:
+    """Non-blank lines with roman and failed: a line without an answer is an empty line and counts as a failure."""
+    rows = lines.withColumn(text, tx.strip(F.coalesce(text, F.lit("")))).filter(F.col(text) != "")
+    rows = pv.per_distinct(rows, F.col(text), romanizer)
+    return rows.withColumn("roman", F.coalesce("response", F.lit(""))).withColumn("failed", F.col("response").isNull()).drop("prompt_key", "response")
+
+
+def baseline_counts(done: DataFrame) -> DataFrame:
+    """One row: processed and failures."""
+    return done.agg(F.count("*").alias("processed"), F.count_if("failed").alias("failures"))

@@ -103,3 +103,17 @@ def dialogue_of(response: str, speaker: Column, placeholder: Column) -> Column:
     line = tx.strip(F.coalesce(F.col(response), F.lit("")))
     spoken = F.when(F.contains(line, F.lit(":")), line).otherwise(F.concat(speaker, F.lit(": "), line))
     return F.when(line == "", F.concat(speaker, F.lit(": "), placeholder)).otherwise(spoken)
+
+
+def edit_lines(lines: DataFrame, provider: Provider, utterance: str = "utterance", intent: str = "intent") -> DataFrame:
+    """Adds new: the line as an editor rewrites it under its intent's control.
+
+    The editor is asked once for each distinct request. A filler at both ends is left at
+    the front only; a failed or empty reply, or one that differs in case only, changes nothing.
+    """
+    control = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in lx.EDITOR_CONTROLS.items() for x in kv]), F.col(intent)), F.lit("ASSERT_NEUTRAL"))
+    request = tx.render(tx.PROMPTS["edit"], control=control, line=F.coalesce(utterance, F.lit("")))
+    rows = per_distinct(lines, request, provider)
+    reply = tx.unwrap(tx.strip(F.coalesce("response", F.lit(""))))
+    same = (reply == "") | (F.lower(reply) == F.lower(tx.strip(F.coalesce(utterance, F.lit("")))))
+    return rows.withColumn("new", F.when(same, F.col(utterance)).otherwise(reply)).drop("prompt_key", "response")

@@ -25,6 +25,7 @@ class Models:
     dialogue: pv.Provider
     intent: pv.Provider
     similarity: Column  # of neutral and slang dialogue
+    editor: pv.Provider | None = None  # rewrites lines in place of the draw of slang
 
 
 def rules() -> Models:
@@ -39,7 +40,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, without its lineage, in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scenewright-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if at is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="scenewright-"))
     return df.checkpoint()
 
 
@@ -51,15 +55,28 @@ def neutral_pass(events: DataFrame, chunks: DataFrame, models: Models) -> DataFr
     return rows.select("story_id", "scene_idx", "scene_id", "key_events", pv.dialogue_of("response", speaker, F.col("scene_goal")).alias("neutral"))
 
 
+def drawn(spoken: DataFrame, pool: DataFrame, keys: list[str], attempt: int) -> DataFrame:
+    """Adds pick. What a line of the story took weighs less on its later lines, over all scenes of the pass.
+
+    Lines that the speaker or the intent gate stops take nothing and use nothing up; one
+    that only the density gate stops does, as that gate needs the line first.
+    """
+    pool = pool.select(F.col("intent").alias("_i"), F.col("emotion").alias("_e"), "pool")
+    may = spoken.filter(gates.speaker_ok() & gates.intent_ok("intent"))
+    may = may.join(pool, F.col("intent").eqNullSafe(F.col("_i")) & F.col("current_emotion").eqNullSafe(F.col("_e")))
+    picks = slang.usage_fold(may, keys[0], [*keys[1:], "line_idx"], k=1, seed=f"{attempt}|")
+    return spoken.join(picks.select(*keys, "line_idx", F.col("taken").alias("pick")), [*keys, "line_idx"], "left")
+
+
 def slang_pass(neutral: DataFrame, profiles: DataFrame, pool: DataFrame, models: Models, attempt: int) -> DataFrame:
     """Adds slang and decisions to neutral scenes; budgets start afresh."""
     keys = ["story_id", "scene_idx"]
     lines = scenes.dialogue_lines(neutral, keys, "neutral")
     spoken = pv.classify_intents(ch.with_profile(lines.filter("is_dialogue"), profiles, ["story_id"]), models.intent)
-    pool = pool.select(F.col("intent").alias("_i"), F.col("emotion").alias("_e"), "pool")
-    spoken = spoken.join(pool, F.col("intent").eqNullSafe(F.col("_i")) & F.col("current_emotion").eqNullSafe(F.col("_e")), "left").drop("_i", "_e")
-    chosen = slang.candidates(spoken.filter("pool is not null"), [*keys, "line_idx"], k=1, seed=str(attempt)).select(*keys, "line_idx", F.col("slang").alias("pick"))
-    spoken = spoken.join(chosen, [*keys, "line_idx"], "left").withColumn("new", slang.place("utterance", "pick"))
+    if models.editor is None:
+        spoken = drawn(spoken, pool, keys, attempt).withColumn("new", slang.place("utterance", "pick"))
+    else:
+        spoken = pv.edit_lines(spoken, models.editor).withColumn("pick", F.lit(None).cast("string"))
     spoken = spoken.withColumn("tokens", tx.token_count("utterance"))
     changed = F.col("new") != F.col("utterance")
     spoken = spoken.withColumn("added", F.when(changed, F.greatest(F.lit(1), tx.token_count("new") - F.col("tokens"))).otherwise(F.lit(0)))

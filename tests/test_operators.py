@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 
 from scenewright.functions import lexicons as lx
 from scenewright.functions.similarity import best_window_ratio
+from scenewright.operators import augment
 from scenewright.operators import characters as ch
 from scenewright.operators import dataprep as dp
 from scenewright.operators import gates, metrics, relational, scenes, slang
+from scenewright.plans import augment as plans_augment
 from scenewright.plans import catalogue
+from scenewright.plans import providers as pv
 
 
 def test_scene_chunks(spark):
@@ -143,3 +146,68 @@ def test_fuzzy_query_compares_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts, 1)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = catalogue.q43_fuzzy(spark, str(tmp_path)).collect()
     assert [(r["item_id"], r["partial"]) for r in got] == [(1, round(best_window_ratio(*texts), 4))] and got[0]["partial"] < 100
+
+
+def test_usage_fold_carries_over_batches_and_stories(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.createDataFrame([(s, i, ["a", "b"]) for s in ("x", "y", None) for i in range(30)], "story string, line int, pool array<string>")
+        got = slang.usage_fold(rows, "story", ["line"], k=1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 90
+    for story in ("x", "y", None):
+        taken = [r["taken"] for r in sorted(got, key=lambda r: r["line"]) if r["story"] == story]
+        assert len(taken) == 30 and abs(taken.count("a") - taken.count("b")) <= 8
+    empty = spark.createDataFrame([("z", 1, None), ("z", 2, [])], "story string, line int, pool array<string>")
+    assert [(r["candidates"], r["taken"]) for r in slang.usage_fold(empty, "story", ["line"]).collect()] == [([], None)] * 2
+
+
+def test_draws_follow_weights(spark):
+    pairs = spark.createDataFrame([(" a ", ["x", " y "]), ("A", ["x"]), (None, ["x", "z"])], "control string, slangs array<string>")
+    items = {(r["control"], r["slang"]): r["freq"] for r in augment.lexicon_items(pairs).collect()}
+    assert items == {("A", "x"): 3, ("A", "y"): 1}
+    used = spark.createDataFrame([("y", 9)], "slang string, used long")
+    pools = augment.draw_pools(augment.lexicon_items(pairs), used, 3)
+    drawn = augment.draw_slang(spark.createDataFrame([(1, "A"), (2, "other")], "i int, control string"), pools, ["i"])
+    assert {r["i"]: r["slang"] for r in drawn.collect()} == {1: "x", 2: "x"}
+    pools = augment.draw_pools(augment.lexicon_items(pairs), spark.createDataFrame([("y", 1)], "slang string, used long"))
+    drawn = augment.draw_slang(spark.range(4000).withColumn("control", F.lit("A")), pools, ["id"])
+    share = drawn.filter("slang = 'x'").count() / 4000
+    want = (1 / 1.3) / (1 / 1.3 + 1 / 4.1)
+    assert abs(share - want) < 0.03
+    none = augment.draw_slang(spark.range(2).withColumn("control", F.lit("A")), pools.limit(0), ["id"])
+    assert [r["slang"] for r in none.collect()] == [None, None]
+
+
+def test_generate_keeps_what_is_wanted(spark):
+    lines = [(i, f"line number {i} goes here", f"yaar line {i} went elsewhere", "ASSERT_HAPPY", ["yaar", "mast", f"s{i % 9}"]) for i in range(60)]
+    pairs = spark.createDataFrame(lines, "i int, neutral string, output string, control string, slangs array<string>")
+    line = F.coalesce("neutral", F.concat(F.lit("a new line about "), "context", F.lit(" no "), F.col("i")))
+    answer = F.to_json(F.struct(line.alias("neutral"), F.concat("slang", F.lit(" "), line).alias("output")))
+    judge = pv.rule(F.to_json(F.struct(*[(F.col("i") % 5 != 0).alias(v) for v in augment.VERDICTS])))
+    kept, aside = plans_augment.generate(pairs, ["i"], 30, pv.rule(answer), judge, min_ratio=40.0)
+    rows = kept.collect()
+    assert len(rows) == 30 and len({r["output"] for r in rows}) == 30
+    assert all(r["slang"] in r["output"] and r["i"] % 5 for r in rows)
+    assert "judge_reject" in {r["reason"] for r in aside.collect()}
+    novel = [r["neutral"] for r in rows if r["mode"] == "novel"]
+    assert len(novel) == len(set(novel))
+    few, _ = plans_augment.generate(pairs.limit(0), ["i"], 5, pv.rule(answer), judge, rounds=1)
+    assert few.count() == 0
+
+
+def test_repeats_of_a_batch_by_output_and_new_line(spark):
+    rows = [(i, "yeh ek nayi line hai", f"yaar yeh ek nayi line hai {i % 3}", "yaar", i >= 50) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, neutral string, output string, slang string, fresh boolean")
+    got = dp.structural_check(df, df.limit(0), ["i"], novel=F.col("fresh"), min_ratio=None).filter("reason = 'ok'").collect()
+    assert sorted(r["i"] for r in got) == [0, 1, 2]
+    alone = dp.structural_check(df.filter("fresh"), df.limit(0), ["i"], novel=True, min_ratio=None).filter("reason = 'ok'").collect()
+    assert [r["i"] for r in alone] == [50]
+
+
+def test_editor_lines(spark):
+    rows = spark.createDataFrame([(1, "kya hai", "EXPRESS_STRESS"), (2, "Theek", "other"), (3, "chup", None), (4, None, "ASSERT_POSITIVE")], "i int, utterance string, intent string")
+    reply = F.when(F.contains("prompt_key", F.lit("kya")), F.concat(F.lit("Yaar, "), "prompt_key", F.lit(" yaar!"))).when(F.contains("prompt_key", F.lit("Theek")), "THEEK")
+    got = {r["i"]: r["new"] for r in pv.edit_lines(rows, pv.rule(reply)).collect()}
+    assert got == {1: "Yaar, insert slang | control: ASSERT_STRESS | kya hai", 2: "Theek", 3: "chup", 4: None}

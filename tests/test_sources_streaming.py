@@ -88,6 +88,16 @@ def test_story_run(spark):
     assert out["events"].count() == out["chunks"].count()
 
 
+def test_story_run_with_an_editor(spark):
+    models = story.rules()
+    models.editor = providers.rule(F.concat(F.lit("Boss, "), F.regexp_extract("prompt_key", r"[^|]*$", 0)))
+    pairs = spark.createDataFrame([("ASSERT_HAPPY", "idiom", ["mast"])], "control string, function string, slangs array<string>")
+    scenes = story.run(spark.createDataFrame([(1, STORY)], "story_id int, text string"), pairs, models, max_attempts=1)["scenes"].collect()
+    said = [d for r in scenes for d in r["decisions"]]
+    assert said and all(d["slang"] is None for d in said)
+    assert any("Boss," in r["slang"] for r in scenes) == any(d["applied"] for d in said)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(f"k{k}", i, ["angry", None, "happy", "sad"][(k + i) % 4]) for k in range(3) for i in range(9)]
     schema = "key string, order int, trigger string"
