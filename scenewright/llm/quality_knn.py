@@ -196,8 +196,10 @@ def _scored(docs: DataFrame, model: Model, text_col: str, keep: dict) -> DataFra
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score`` of every row; null text counts as empty.
 
-    Empty texts share one score: that of the labelled texts that are nearest to nothing.
-    Equal texts have equal scores. Other columns are not looked at.
+    Empty texts, and others that no labelled text is near, score the mean of the sampled labels.
+    Of labelled texts with equal cosines at the last place, which ones vote is not defined.
+    Scores of equal texts may differ by the rounding of float32 products (about 1e-7), as that
+    depends on the batch. Other columns are not looked at.
     """
     return _scored(docs, model, text_col, {"id": F.col(id_col)}).withColumnRenamed("_score", "score")
 
