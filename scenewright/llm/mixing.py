@@ -1,10 +1,11 @@
 """Mixing to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Documents are counted into cells of source, language and topic. Raking scales the cells'
-token weights in turn until they meet the target share of every source, language and
-topic. A document is then kept with its cell's calibrated probability: target tokens over
-tokens there are, scaled to the token budget. Which documents are kept is decided by a
-hash of the id, so a run can be repeated.
+token weights in turn until they meet the target tokens of every source, language and
+topic. A cell can't give more tokens than it has: each step cuts its weight there, and the
+steps after it make up for that in other cells. A document is then kept with its cell's
+calibrated probability: weight over tokens. Which documents are kept is decided by a hash
+of the id, so a run can be repeated.
 
 Cells are summed before the exchange, so a source with a third of all rows is one row per
 task. The table of cells grows with the number of combinations, not with the documents; it
@@ -58,34 +59,36 @@ def damped_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.select(dim, (F.col("p") / F.lit(whole)).alias(f"target_{dim}"))
 
 
-def rake(cells: DataFrame, dims: list[str], sweeps: int = SWEEPS) -> DataFrame:
-    """``cells`` (dims, tokens, target_dim...) with ``weight``: token shares that meet the targets.
+def rake(cells: DataFrame, dims: list[str], budget: float, sweeps: int = SWEEPS) -> DataFrame:
+    """``cells`` (dims, tokens, target_dim...) with ``weight``: the tokens to keep, ``budget`` in all, that meet the targets.
 
-    Cells without tokens keep weight 0. Where the targets can't all be met, because a
-    combination has no tokens, the last dimension's are met.
+    Cells without tokens keep weight 0, and no cell's weight exceeds its tokens. Where the
+    targets can't all be met, because combinations have too few tokens, what is missing
+    stays missing; of the rest, the last dimension is the nearest to its targets.
     """
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
     for sweep in range(sweeps):
         for dim in dims:
             total = F.sum("weight").over(W.partitionBy(dim))
-            out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{dim}") / total).otherwise(F.lit(0.0)))
+            scaled = F.least(F.col("tokens").cast("double"), F.col("weight") * F.col(f"target_{dim}") * F.lit(float(budget)) / total)
+            out = out.withColumn("weight", F.when(total > 0, scaled).otherwise(F.lit(0.0)))
         if (sweep + 1) % CUT_EVERY == 0:
             out = checkpointed(out)
     return out
 
 
 def probabilities(cells: DataFrame, dims: list[str], powers: Mapping[str, float], keep_share: float, sweeps: int = SWEEPS) -> DataFrame:
-    """dims, weight, probability of each cell; the expected kept tokens are ``keep_share`` of all, less where a cell runs out."""
+    """dims, weight, probability of each cell; the expected kept tokens are ``keep_share`` of all, less only where the targets can't be met."""
     for dim in dims:
         cells = cells.join(damped_targets(cells, dim, powers[dim]).withColumnRenamed(dim, "_d"), F.col(dim).eqNullSafe(F.col("_d")), "left").drop("_d")
     cells = checkpointed(cells)
     if cells.count() <= ONE_TASK_CELLS:
         cells = cells.coalesce(1)
-    raked = rake(cells, dims, sweeps)
-    all_tokens = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    rate = F.col("weight") * F.lit(all_tokens) * F.lit(float(keep_share)) / F.col("tokens")
-    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), rate)).otherwise(F.lit(0.0))
-    return raked.select(*dims, "weight", p.alias("probability"))
+    budget = float(cells.agg(F.sum("tokens")).first()[0] or 0) * keep_share
+    raked = rake(cells, dims, budget, sweeps)
+    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens"))).otherwise(F.lit(0.0))
+    share = F.col("weight") / F.lit(budget) if budget else F.lit(0.0)
+    return raked.select(*dims, share.alias("weight"), p.alias("probability"))
 
 
 def mix(docs: DataFrame, powers: Mapping[str, float] | None = None, keep_share: float = KEEP_SHARE, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, topic: Column | None = None) -> DataFrame:

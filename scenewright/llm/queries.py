@@ -146,7 +146,7 @@ def mixing_sql(documents: str, sweeps: int = 12) -> str:
     for i in range(sweeps):
         for dim in ("source", "lang", "topic"):
             new = f"r{len(steps) + 1}"
-            steps.append(f"{new} AS (SELECT * REPLACE (weight * t_{dim} / sum(weight) OVER (PARTITION BY {dim}) AS weight) FROM {last})")
+            steps.append(f"{new} AS (SELECT * REPLACE (least(tokens, weight * t_{dim} * budget / sum(weight) OVER (PARTITION BY {dim})) AS weight) FROM {last})")
             last = new
     return rf"""
 WITH d AS (
@@ -160,10 +160,10 @@ WITH d AS (
 ), tl AS (SELECT lang, pow(sum(tokens), 0.5) / sum(pow(sum(tokens), 0.5)) OVER () AS t_lang FROM c GROUP BY lang
 ), tt AS (SELECT topic, 1.0::DOUBLE / count(*) OVER () AS t_topic FROM c GROUP BY topic
 ), r0 AS (
-  SELECT c.*, tokens AS weight, t_source, t_lang, t_topic FROM c
+  SELECT c.*, tokens AS weight, (SELECT sum(tokens) FROM c) * 0.5 AS budget, t_source, t_lang, t_topic FROM c
   JOIN ts ON c.source IS NOT DISTINCT FROM ts.source JOIN tl ON c.lang IS NOT DISTINCT FROM tl.lang JOIN tt USING (topic)
 ), {", ".join(steps)}, p AS (
-  SELECT source, lang, topic, least(1.0, weight * (SELECT sum(tokens) FROM c) * 0.5 / tokens) AS p FROM {last}
+  SELECT source, lang, topic, least(1.0, weight / tokens) AS p FROM {last}
 )
 SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(p, 6) AS probability,
        n_tokens > 0 AND ('0x' || substr(md5('1:' || doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < p AS sampled

@@ -150,6 +150,29 @@ def test_mix_meets_its_targets(spark):
             assert abs(got[k] / total - w**power / norm) < 0.02, (dim, k)
 
 
+def test_mix_makes_up_for_cells_that_run_out(spark):
+    rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), keep_share=0.5).collect()
+    assert sum(r["probability"] == 1 for r in rows) > 20
+    all_tokens = sum(r["n_tokens"] for r in rows)
+    for dim, power in (("source", 0.5), ("lang", 0.5), ("topic", 0.0)):
+        got, there = {}, {}
+        for r in rows:
+            got[r[dim]] = got.get(r[dim], 0) + r["n_tokens"] * r["probability"]
+            there[r[dim]] = there.get(r[dim], 0) + r["n_tokens"]
+        norm = sum(w**power for w in there.values())
+        for k, w in there.items():
+            assert abs(got[k] / (0.5 * all_tokens) - w**power / norm) < 1e-4, (dim, k)
+
+
+def test_mix_with_targets_that_cannot_be_met(spark):
+    text = lambda n: " ".join(["word"] * n)
+    df = spark.createDataFrame([(i, text(5), "en", "s", "a" if i < 5 else "b") for i in range(100)], "doc_id long, text string, lang string, source string, kind string")
+    rows = mixing.mix(df, keep_share=0.5, topic=F.col("kind")).collect()
+    # "a" should give a quarter of all tokens and has a twentieth; "b" gives its own quarter.
+    assert {(r["topic"], round(r["probability"], 6)) for r in rows} == {("a", 1.0), ("b", round(25 / 95, 6))}
+    assert {r["probability"] for r in mixing.mix(df, keep_share=0.0).collect()} == {0.0}
+
+
 def test_quality_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     truth = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
