@@ -213,12 +213,36 @@ def normalise(text: str) -> str:
     return text.lower()
 
 
+# The steps around the merge list that the splitter and ``normalise`` stand for.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def check_supported(d: dict) -> None:
+    """Raises for a tokenizer file whose counts these transducers would get wrong."""
+    model, steps = d.get("model") or {}, (d.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    split, level = (steps + [{}, {}])[:2]
+    wrong = {
+        "normalizer": (d.get("normalizer") or {}).get("normalizers") != NORMALIZER,
+        "pre-tokenizer": len(steps) != 2
+        or (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) != ("Split", {"Regex": SPLIT_PATTERN}, "Removed", True)
+        or (level.get("type"), level.get("add_prefix_space"), level.get("use_regex")) != ("ByteLevel", False, False),
+        "model": model.get("type") != "BPE" or not model.get("end_of_word_suffix") or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        "added tokens": any(t.get(k) for t in d.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    if any(wrong.values()):
+        raise ValueError(f"not compiled for this tokenizer file: {', '.join(k for k, v in wrong.items() if v)}")
+
+
 class Compiled:
     """Both transducers for one tokenizer file, with a memo of pre-tokens."""
 
     def __init__(self, spec: str):
         d = json.loads(spec)
+        check_supported(d)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in d["added_tokens"])) if d["added_tokens"] else None
+        #: A character that stands in every special string: texts without it need no search.
+        self.mark_of_special = min(set.intersection(*[set(t["content"]) for t in d["added_tokens"]]), default="") if d["added_tokens"] else ""
         self.merger = Merger(d["model"])
         self.nxt, self.mark = splitter()
         self.table = class_table()
@@ -274,7 +298,7 @@ class Compiled:
         size = 0
         for i, text in enumerate(texts):
             pieces = [text]
-            if self.special is not None and "<" in text:
+            if self.special is not None and self.mark_of_special in text:
                 pieces = self.special.split(text)
                 out[i] += len(pieces) - 1
             for p in pieces:
@@ -301,8 +325,10 @@ def token_counts(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: s
 
     Counts are those of the library without begin, end or added special tokens; a
     special token's string inside a text counts as one token. Null text counts as
-    empty: no bytes, no tokens. Other columns are ignored.
+    empty: no bytes, no tokens. Other columns are ignored. A file with other normalising
+    or splitting steps, or another kind of model, is refused with a ValueError.
     """
+    check_supported(json.loads(spec))
     held = docs.sparkSession.sparkContext.broadcast(spec)
     id_type = docs.schema[id_col].dataType
 
