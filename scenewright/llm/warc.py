@@ -29,6 +29,8 @@ MIN_REVISIT_BYTES = 1000
 #: Records in one archive file at most.
 RECORDS_PER_FILE = 5_000
 SALTS = 16
+#: The profile of revisit records: an equal payload (fixed value of the format).
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: The HTTP head that stands before each payload.
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -90,7 +92,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         one_line(F.col("url")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
         F.col("digest"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: "), record_urn(F.col("refers_to")))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_urn(F.col("refers_to")))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
         F.octet_length(block).cast("string"),
         F.lit("\r\n\r\n"),
@@ -183,13 +185,16 @@ def read_warc(spark: SparkSession, path: str, project: dict | None = None) -> Da
     held = rows.filter("real and whole").select("file", "offset", "header", *project)
     if rows.filter("real and not whole").isEmpty():
         return held
-    # Pieces that are not reached belong to the record before them.
+    # Pieces that are not reached belong to the record before them. They are read again, and
+    # met by their offsets, which the bytes decide; row numbers of two scans need not agree.
     owner = F.last(F.when(F.col("real"), F.col("offset")), ignorenulls=True).over(W.partitionBy("file").orderBy("offset"))
-    parts = rows.select("file", "split", "seq", "offset", "real", "whole", owner.alias("owner")).filter("real is null or not whole").filter("owner is not null")
+    parts = rows.select("file", "offset", "real", "whole", owner.alias("owner")).filter("real is null or not whole").filter("owner is not null")
     magic = F.encode(F.lit(MAGIC), "UTF-8")
     body = F.aggregate(F.slice("parts", 2, F.size("parts")), F.col("parts")[0]["piece"].cast("binary"), lambda a, p: F.concat(a, magic, p["piece"].cast("binary")))
+    again = pieces(spark, path).join(parts.select("file").distinct(), "file", "left_semi")
+    again = with_offsets(again.withColumn("len", F.octet_length("piece").cast("long") + F.lit(len(MAGIC))))
     joined = (
-        pieces(spark, path).join(parts.select("file", "split", "seq", "offset", "owner"), ["file", "split", "seq"])
+        again.join(parts.select("file", "offset", "owner"), ["file", "offset"])
         .groupBy("file", "owner")
         .agg(F.array_sort(F.collect_list(F.struct("offset", "piece"))).alias("parts"))
         .select("file", F.col("owner").alias("offset"), body.alias("body"))

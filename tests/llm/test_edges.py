@@ -103,6 +103,13 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.Compiled(SPEC).count(texts).tolist() == want
 
 
+def test_other_tokenizer_files_are_refused(spark):
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        other = f.read()
+    with pytest.raises(ValueError, match="normalizer"):
+        token_counts.token_counts(table(spark), other)
+
+
 def test_split_chunks_compose():
     import numpy as np
 
@@ -130,6 +137,8 @@ def test_warc_round_trip_with_magic_inside(spark):
         assert got[i]["record_type"] == ("revisit" if i == 4 else "response") and got[i]["refers_to"] == (5 if i == 4 else None)
     path = warc.archive_dir(spark)
     warc.write_warc(df, path)
+    heads = {re.search(r"urn:pages:(\d*)", r["header"])[1]: r["header"] for r in warc.read_warc(spark, path).collect()}
+    assert [k for k, h in heads.items() if f"WARC-Profile: {warc.PROFILE}" in h] == ["4"]
     payloads = {re.search(r"urn:pages:(\d*)", r["header"])[1]: bytes(r["payload"]).decode() for r in warc.read_warc(spark, path).collect()}
     assert payloads["8"] == magic * 3 and payloads["1"] == magic + "tail" and payloads["4"] == ""
     assert warc.round_trip(df.filter("false")).count() == 0
